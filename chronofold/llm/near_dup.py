@@ -12,22 +12,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, WordHashes, mixed, saved
+from .common import LOWER, WordHashes, mixed, saved, small_enough
 
 #: 40 bands of 5 minima: a pair at 0.8 shares no bucket with probability (1 - 0.8**5)**40, about 1e-7.
 BANDS, ROWS = 40, 5
 #: Low bits kept of each minimum.
 BITS = 2
-#: Pairs estimated this far below the threshold are dropped: over six standard deviations of 200 minima at 0.8.
-MARGIN = 0.25
+#: Pairs estimated this far below the threshold are dropped: over five standard deviations of 200 minima at 0.8.
+MARGIN = 0.18
 #: Buckets up to this size give all pairs; larger ones give stars, and then what the stars left open.
 ALL_PAIRS = 24
-
-LIMBS = BANDS * ROWS * BITS // 64 + (BANDS * ROWS * BITS % 64 > 0)
+#: Minima of the finer signatures, and their margin: five standard deviations again.
+FINE, FINE_MARGIN = 2048, 0.053
 
 
 def multipliers(n: int) -> np.ndarray:
@@ -55,20 +55,27 @@ def set_name(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
+def minima(s: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(s), 512):
+        np.minimum(least, (s[at : at + 512, None] * factors[None, :]).min(axis=0), out=least)
+    return mixed(least)
+
+
+def pack(least: np.ndarray) -> np.ndarray:
+    """The low bits of minima in 64-bit limbs."""
+    low = (least & np.uint64((1 << BITS) - 1)).astype(np.uint8)
+    bits = ((low[:, None] >> np.arange(BITS)) & 1).astype(np.uint8).ravel()
+    return np.packbits(np.pad(bits, (0, -len(bits) % 64))).view(np.uint64)
+
+
 def signature(s: np.ndarray, factors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(one hash per band, packed low bits) of a set's minima."""
-    with np.errstate(over="ignore"):
-        least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
-        for at in range(0, len(s), 512):
-            np.minimum(least, (s[at : at + 512, None] * factors[None, :]).min(axis=0), out=least)
-        minima = mixed(least)
-        bands = np.zeros(BANDS, np.uint64)
-        grid = minima.reshape(BANDS, ROWS)
-        for k in range(ROWS):
-            bands = mixed(bands * np.uint64(0xBF58476D1CE4E5B9) + grid[:, k])
-    low = (minima & np.uint64((1 << BITS) - 1)).astype(np.uint8)
-    bits = ((low[:, None] >> np.arange(BITS)) & 1).astype(np.uint8).ravel()
-    return bands, np.packbits(np.pad(bits, (0, LIMBS * 64 - len(bits)))).view(np.uint64)
+    least = minima(s, factors)
+    bands, grid = np.zeros(BANDS, np.uint64), least.reshape(BANDS, ROWS)
+    for k in range(ROWS):
+        bands = mixed(bands * np.uint64(0xBF58476D1CE4E5B9) + grid[:, k])
+    return bands, pack(least)
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
@@ -94,31 +101,41 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(sketch, schema)
 
 
-def estimate(a, b):
-    """Similarity from two packed signatures: matching minima, corrected for low bits that agree by chance."""
-    mask = sum(1 << i for i in range(0, 64, BITS))
-    mask = mask - (1 << 64) if mask >> 63 else mask
-    folded = lambda x: x.bitwiseOR(F.shiftright(x, 1)).bitwiseAND(F.lit(mask)) if BITS == 2 else x
-    differ = sum((F.bit_count(folded(a[i].bitwiseXOR(b[i]))) for i in range(LIMBS)), F.lit(0))
+def estimate(a: Column, b: Column, count: int) -> Column:
+    """Similarity from two packed signatures: matching minima, corrected for low bits that agree by chance.
+
+    Two bits differ if either does: the odd bits fold onto the even ones before counting.
+    """
+    even = sum(1 << i for i in range(0, 64, 2))
+    fold = lambda x: x.bitwiseOR(F.shiftright(x, 1)).bitwiseAND(F.lit(even))
+    limbs = -(-count * BITS // 64)
+    differ = sum((F.bit_count(fold(a[i].bitwiseXOR(b[i]))) for i in range(limbs)), F.lit(0))
     chance = 0.5**BITS
-    return (1.0 - differ / float(BANDS * ROWS) - chance) / (1.0 - chance)
+    return (1.0 - differ / float(count) - chance) / (1.0 - chance)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of set names whose full sets are similar enough."""
+def shingle_sets(names: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(name, shingles) of the classes in (name, rep), from the whole texts of their representatives."""
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                names, sets = [], []
+                found: dict[bytes, np.ndarray] = {}
                 for raw, want in zip(part.column(0), part.column(1), strict=True):
                     s = shingle_set(raw.as_py() or b"", hashes, width)
                     if len(s) and set_name(s) == want.as_py():  # rows may share a doc_id
-                        names.append(want.as_py())
-                        sets.append(s.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(sets, pa.binary())], names=["name", "shingles"])
+                        found[want.as_py()] = s
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([s.tobytes() for s in found.values()], pa.binary())], names=["name", "shingles"])
+
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(small_enough(names.select(F.col("rep").alias("doc_id"), "name")), "doc_id")
+    schema = T.StructType([T.StructField("name", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
+    return saved(texts.select("text", "name").mapInArrow(named, schema), "sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of set names whose full sets are similar enough."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,14 +147,22 @@ def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, pe
             kept = batch.filter(pa.array(good, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct().join(reps.select("name", "rep"), "name")
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id")
-    schema = T.StructType([T.StructField("name", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
-    sets = saved(texts.select("text", "name").mapInArrow(named, schema), "sets")
     both = pairs.join(sets.select(F.col("name").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("name").alias("b"), F.col("shingles").alias("sb")), "b")
     return both.select("a", "b", "sa", "sb").mapInArrow(judge, T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])).distinct()
 
 
+def fine_bits(sets: DataFrame) -> DataFrame:
+    """(name, fine): low bits of many more minima, for the few classes whose coarse estimates leave too much open."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factors = multipliers(BANDS * ROWS + FINE)[BANDS * ROWS :]
+        for batch in batches:
+            packed = [pack(minima(np.frombuffer(raw.as_buffer(), np.uint64), factors)).view(np.int64) for raw in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.list_(pa.int64()))], names=["name", "fine"])
+
+    return sets.select("name", "shingles").mapInArrow(each, T.StructType([T.StructField("name", T.BinaryType()), T.StructField("fine", T.ArrayType(T.LongType()))]))
+
+
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """(node, root): the smallest node of each linked node's component, from links (a, b).
 
@@ -159,18 +184,21 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
             return labels
 
 
-def candidate_pairs(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(a, b) from (bucket, name): all pairs of small buckets; of large ones, each member with the bucket's centre.
+def all_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b) from (bucket, name) of small buckets."""
+    # at most ALL_PAIRS names in a list
+    lists = rows.groupBy("bucket").agg(F.sort_array(F.collect_set("name")).alias("names"))
+    return lists.select("names", F.posexplode("names").alias("i", "b")).filter("i > 0").select(F.explode(F.slice("names", F.lit(1), F.col("i"))).alias("a"), "b")
+
 
-    The centre is drawn by the bucket's own hash, so a large family meets many centres over its bands.
+def centred(large: DataFrame) -> DataFrame:
+    """(bucket, name, n) of large buckets with each bucket's centre: the member that meets most others over all its buckets.
+
+    In a family of copies that is the text they were made from, or the copy nearest to it.
     """
-    # each member but the first has fewer than ALL_PAIRS earlier ones: bounded lists
-    small = rows.join(sizes.filter(F.col("n").between(2, ALL_PAIRS)).select("bucket"), "bucket")
-    lists = small.groupBy("bucket").agg(F.sort_array(F.collect_set("name")).alias("names"))
-    pairs = lists.select("names", F.posexplode("names").alias("i", "b")).filter("i > 0").select(F.explode(F.slice("names", F.lit(1), F.col("i"))).alias("a"), "b")
-    large = rows.join(sizes.filter(F.col("n") > ALL_PAIRS).select("bucket", "centre"), "bucket")
-    stars = large.filter(F.col("name") != F.col("centre")).select(F.least("name", "centre").alias("a"), F.greatest("name", "centre").alias("b"))
-    return pairs.unionByName(stars).distinct()
+    met = large.groupBy("name").agg(F.sum("n").alias("met"))
+    best = large.join(met, "name").groupBy("bucket").agg(F.max(F.struct("met", "name"))["name"].alias("centre"))
+    return large.join(best, "bucket")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -187,31 +215,39 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     reps = saved(reps, "classes")
     linkable = reps.filter(F.col("rep").isNotNull())
     banded = linkable.select("name", F.posexplode("bands").alias("band", "h")).select("name", F.xxhash64("band", "h").alias("bucket"))
-    drawn = F.min(F.struct(F.xxhash64("name", "bucket").alias("h"), F.col("name")))
-    sizes = saved(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), drawn["name"].alias("centre")).filter("n > 1"), "buckets")
-    pairs = candidate_pairs(banded, sizes)
+    sizes = saved(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
+    shared = saved(banded.join(sizes, "bucket"), "shared-buckets")
+    large = saved(centred(shared.filter(F.col("n") > ALL_PAIRS)), "large-buckets")
+    stars = large.filter(F.col("name") != F.col("centre")).select(F.least("name", "centre").alias("a"), F.greatest("name", "centre").alias("b"))
+    pairs = all_pairs(shared.filter(F.col("n") <= ALL_PAIRS)).unionByName(stars).distinct()
     bits = reps.select("name", "bits")
 
     def close(pairs: DataFrame) -> DataFrame:
         a, b = bits.select(F.col("name").alias("a"), F.col("bits").alias("x")), bits.select(F.col("name").alias("b"), F.col("bits").alias("y"))
-        return pairs.join(a, "a").join(b, "b").filter(estimate(F.col("x"), F.col("y")) >= percent / 100 - MARGIN).select("a", "b")
+        return saved(pairs.join(a, "a").join(b, "b").filter(estimate(F.col("x"), F.col("y"), BANDS * ROWS) >= percent / 100 - MARGIN).select("a", "b"), "pairs")
 
-    links = saved(confirmed(saved(close(pairs), "pairs"), docs, reps, width, percent), "links")
+    pairs = close(pairs)
+    crowd = saved(large.select("name").distinct(), "crowd")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("name")).unionByName(crowd).distinct()
+    sets = shingle_sets(wanted.join(reps.select("name", "rep"), "name"), docs, width)
+    links = saved(confirmed(pairs, sets, percent), "links")
     labels = components(links)
-    # large buckets whose members are not all together yet: those off the centre's component meet every member
-    large = sizes.filter(F.col("n") > ALL_PAIRS)
-    if not large.isEmpty():
-        members = banded.join(large.select("bucket", "centre"), "bucket").join(labels.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
-        centres = labels.select(F.col("node").alias("centre"), F.col("root").alias("centre_root"))
-        members = saved(members.join(centres, "centre", "left").withColumn("off", F.col("root") != F.coalesce("centre_root", "centre")).select("bucket", "name", "root", "off"), "members")
-        off = members.filter("off").select("bucket", F.col("name").alias("b"), F.col("root").alias("rb"))
-        if not off.isEmpty():
-            met = off.join(members.select("bucket", "name", "root"), "bucket").filter(F.col("root") != F.col("rb"))
-            more = met.select(F.least("name", "b").alias("a"), F.greatest("name", "b").alias("b")).distinct()
-            extra = saved(confirmed(saved(close(more), "more-pairs"), docs, reps, width, percent), "more-links")
-            if not extra.isEmpty():
-                links = links.unionByName(extra)
-                labels = components(links, "components-again")
+    # large buckets: members off their centre's component meet the others, judged by finer signatures first
+    if not crowd.isEmpty():
+        fine = saved(fine_bits(sets.join(crowd, "name", "left_semi")), "fine")
+        rooted = labels.withColumnRenamed("node", "name")
+        centres = rooted.select(F.col("name").alias("centre"), F.col("root").alias("centre_root"))
+        families = large.join(centres, "centre", "left").select("name", F.coalesce("centre_root", "centre").alias("family")).distinct()
+        members = saved(families.join(rooted, "name", "left").withColumn("root", F.coalesce("root", "name")).join(fine, "name"), "members")
+        off = members.filter(F.col("root") != F.col("family")).select("family", F.col("name").alias("b"), F.col("root").alias("rb"), F.col("fine").alias("y"))
+        once = (F.col("root") == F.col("family")) | (F.col("name") < F.col("b"))  # two members that are both off meet once
+        near = once & (F.col("root") != F.col("rb")) & (estimate(F.col("fine"), F.col("y"), FINE) >= percent / 100 - FINE_MARGIN)
+        met = off.withColumnRenamed("family", "of").join(members, (F.col("of") == F.col("family")) & near)
+        more = saved(met.select(F.least("name", "b").alias("a"), F.greatest("name", "b").alias("b")).distinct(), "more-pairs")
+        extra = saved(confirmed(more, sets, percent), "more-links")
+        if not extra.isEmpty():
+            links = links.unionByName(extra)
+            labels = components(links, "components-again")
     rooted = reps.select("name", "rep").join(labels.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = saved(rooted.join(least, "root").select("name", "component_id"), "named")
