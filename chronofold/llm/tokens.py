@@ -16,11 +16,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, shared_path
+from .common import bounded_batches, partitions, shared_path
 
 #: White space beyond ASCII's and the control characters that regex engines disagree on: such texts are encoded in one piece.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+BARE = "\x1f"
 SAFE_CUT = re.compile("(?= [^ \t\n\r\x0b\x0c])")
+#: A word of Latin letters, its space before it, and closing marks: exactly two pieces, the second maybe empty.
+PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)\\Z")
 
 
 def default_tokenizer() -> str:
@@ -29,43 +32,85 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def byte_letters() -> list[str]:
+    """The letter that byte-level BPE writes for each byte: printable Latin-1 bytes for themselves, the others from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in own)}
+    return [chr(others.get(b, b)) for b in range(256)]
+
+
 class Encoder:
     """Byte-level BPE through the tokenizers library, remembering what it has encoded.
 
     This pre-tokenizer always starts a piece at a space before a non-space, and BPE never crosses pieces, so a
-    text may be cut there and its parts encoded apart. Parts repeat a lot; each is encoded once per worker, and
-    the memory of them is bounded. Texts with added tokens or unusual white space are encoded in one piece.
+    text may be cut there and its parts encoded apart. A part of Latin letters and closing marks is two pieces, which
+    go straight to the library's model; any other goes through the library whole, and so do texts with added
+    tokens or unusual white space. The memory of parts is bounded: two generations, the older one dropped.
     """
 
-    def __init__(self, path: str, remember: int = 300_000):
+    def __init__(self, path: str, remember: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.remember = remember
+        letters = byte_letters()
+        self.mapped = {ord(" "): letters[32]} | {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
     def parts(self, text: str) -> list[str]:
+        """The text's parts: those after a space without it, others after BARE."""
         if ODD_SPACE.search(text) or any(s in text for s in self.special):
-            return [text]
-        if "  " in text or text[-1:] == " " or " \n" in text or " \t" in text or " \r" in text or " \x0b" in text or " \x0c" in text:
-            return SAFE_CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+            return [BARE + text]
+        if "  " in text or text[:1] == " " or text[-1:] == " " or " \n" in text or " \t" in text or " \r" in text or " \x0b" in text or " \x0c" in text:
+            return [p[1:] if p[:1] == " " and p[1:].strip() else BARE + p for p in SAFE_CUT.split(text)]
+        out = text.split(" ")
+        out[0] = BARE + out[0]
+        return out
+
+    def word(self, piece: str) -> bytes:
+        if (out := self.words.get(piece)) is None:
+            out = np.array([t.id for t in self.tokenizer.model.tokenize(piece.translate(self.mapped))], dtype="<u4").tobytes()
+            self.words[piece] = out
+        return out
+
+    def learn(self, parts: set[str], long: dict[str, bytes]) -> None:
+        odd = []
+        for key in parts:
+            if (old := self.older.get(key)) is not None:
+                self.known[key] = old
+            elif m := PLAIN.match(p := key[1:] if key[0] == BARE else " " + key):
+                self.known[key] = self.word(m[1]) + self.word(m[2]) if m[2] else self.word(m[1])
+            else:
+                odd.append((key, p))
+        for i in range(0, len(odd), 2000):
+            some = odd[i : i + 2000]
+            for (key, p), e in zip(some, self.tokenizer.encode_batch_fast([p for _, p in some], add_special_tokens=False), strict=True):
+                (self.known if len(p) < 64 else long)[key] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Little-endian 32-bit ids of each text."""
         if len(self.known) > self.remember:
-            self.known.clear()
+            self.known, self.older = {}, self.known
+        if len(self.words) > self.remember:
+            self.words.clear()
+        known, long = self.known, {}
         cut = [self.parts(t) for t in texts]
-        new = list({p for parts in cut for p in parts if p not in self.known})
-        long = {}
-        for i in range(0, len(new), 2000):
-            some = new[i : i + 2000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                (self.known if len(p) < 64 else long)[p] = np.array(e.ids, dtype="<u4").tobytes()
-        get = lambda p: self.known[p] if p in self.known else long[p]
-        return [np.frombuffer(b"".join(map(self.known.__getitem__ if not long else get, parts)), dtype="<u4") for parts in cut]
+        self.learn(set().union(*cut).difference(known), long)
+        get = (lambda p: known[p] if p in known else long[p]) if long else known.__getitem__
+        return [np.frombuffer(b"".join(map(get, parts)), dtype="<u4") for parts in cut]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One per Python worker, kept between tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, group_mb: int = 32, page_rows: int = 2000) -> None:
@@ -76,11 +121,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, group_
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(tokenizer)
+        coder = encoder(tokenizer)
         end = np.array([end_id], dtype="<u4")
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 128):
+                some = batch.slice(at, 128)
                 ids = [np.concatenate([x, end]) for x in coder.encode([t or "" for t in some.column(1).to_pylist()])]
                 sizes = np.array([len(x) for x in ids], dtype=np.int64)
                 offsets = np.zeros(len(ids) + 1, dtype=np.int32)
@@ -88,7 +133,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, group_
                 tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(sizes), tokens], names=["doc_id", "bucket", "n_tokens", "tokens"])
 
-    spark = docs.sparkSession
+    spark = bounded_batches(docs.sparkSession)
     ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first(), F.col("h"))
     ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h").select("doc_id", "text", F.spark_partition_id().alias("bucket"))
     schema = T.StructType([docs.schema["doc_id"], T.StructField("bucket", T.IntegerType()), T.StructField("n_tokens", T.LongType()), T.StructField("tokens", T.ArrayType(T.IntegerType()))])
