@@ -41,8 +41,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: whole epochs first, then the sampled part."""
     rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), text_quality(F.col("text")).alias("quality"))
-    times = mix(rows, [1, 2, 3]).filter("times > 0").select("doc_id", "times").dropDuplicates(["doc_id"])
-    taken = docs.select(*COLUMNS).join(times, F.col("doc_id").eqNullSafe(times["doc_id"])).drop(times["doc_id"])
+    times = mix(rows, [1, 2, 3]).filter("times > 0").select(F.col("doc_id").alias("_id"), "times").dropDuplicates(["_id"])
+    taken = docs.select(*COLUMNS).join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select(*COLUMNS)
 
 
