@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small_enough
+from .common import saved
 
 #: Rules of version 1: kind, pattern, least length, group that the length is of.
 BASE_RULES = [
@@ -64,13 +64,13 @@ def scan_versions(versions: DataFrame, rule_version: int, ledger: DataFrame | No
     unseen = unseen.select("blob", F.col("at.path").alias("_path"), F.col("at.version").alias("_version"))
     sources = versions.select("path", "version", text.alias("text"))
     same = sources["path"].eqNullSafe(F.col("_path")) & sources["version"].eqNullSafe(F.col("_version"))
-    blobs = sources.join(small_enough(saved(unseen, "unseen")), same).filter(F.sha2("text", 256) == F.col("blob")).select("blob", "text")
+    blobs = sources.join(saved(unseen, "unseen"), same).filter(F.sha2("text", 256) == F.col("blob")).select("blob", "text")
     # rows repeated as a whole give the same spans
     once = scan(blobs, RULES[rule_version]).groupBy("blob").agg(F.first("spans").alias("spans"))
     scanned = once.select("blob", F.lit(rule_version).alias("rule_version"), "spans")
     grown = saved(scanned, "ledger") if ledger is None else ledger.unionByName(saved(scanned, "ledger"))
     fitting = grown.filter((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select("blob", "spans")
-    findings = named.join(small_enough(fitting), "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
+    findings = named.join(fitting, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
     return findings, grown
 
 
