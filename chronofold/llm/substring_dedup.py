@@ -62,7 +62,7 @@ def runs_of(raw: bytes, hashes: WordHashes) -> list[tuple[int, int, int, int]]:
         if last - first < SENTENCES or words < WORDS:
             break
         h = xxhash.xxh3_128_intdigest(b"\n".join(each[first:last]))
-        out.append((first, last - 1, (h >> 64) - (1 << 63), (h & 0xFFFFFFFF) - (1 << 31)))
+        out.append((first, last - 1, (h >> 64) - (1 << 63), (h & 0xFFFF) - (1 << 15)))
         words -= parts[first][2]
     return out
 
@@ -78,13 +78,13 @@ def repeated_sentences(docs: DataFrame) -> DataFrame:
                 rows = [(d, *r) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if t for r in runs_of(t, hashes)]
                 if rows:
                     columns = list(zip(*rows, strict=True))
-                    kinds = [part.column(0).type, pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+                    kinds = [part.column(0).type, pa.int32(), pa.int32(), pa.int64(), pa.int16()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "first", "last", "run", "check"])
 
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType()), T.StructField("run", T.LongType()), T.StructField("check", T.IntegerType())])
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType()), T.StructField("run", T.LongType()), T.StructField("check", T.ShortType())])
     runs = saved(docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(spans, schema), "runs")
     place = F.struct("doc_id", "first")
-    shared = runs.groupBy("run", "check").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter(F.col("low") != F.col("high")).drop("high")
+    shared = runs.groupBy("run", "check").agg(F.min(place).alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     later = runs.join(shared, ["run", "check"]).filter(place > F.col("low"))
     gone = later.select("doc_id", F.explode(F.sequence("first", "last")).alias("at")).distinct()
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_list("at")).alias("gone"))
