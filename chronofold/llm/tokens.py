@@ -7,23 +7,27 @@ sizes, and the page indexes let a reader fetch a few documents' ids, or the meta
 
 from __future__ import annotations
 
+import json
+import os
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bounded_batches, partitions, shared_path
 
-#: White space beyond ASCII's and the control characters that regex engines disagree on: such texts are encoded in one piece.
-ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-BARE = "\x1f"
-SAFE_CUT = re.compile("(?= [^ \t\n\r\x0b\x0c])")
-#: A word of Latin letters, its space before it, and closing marks: exactly two pieces, the second maybe empty.
-PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)\\Z")
+#: Marks put before a text, at its end, and in place of a text encoded whole; texts with these characters are encoded whole.
+BARE, END, WHOLE = "\x1f", "\x1e", "\x1d"
+#: Texts that aren't cut at spaces: white space beyond ASCII's, control characters that regex engines disagree on, and
+#: spaces that don't stand between two non-spaces.
+UNCUT = "[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|^ | $| [ \t\n\r\x0b\x0c]"
+#: Bytes of text that are cut into words at a time.
+SLICE = 4 << 20
 
 
 def default_tokenizer() -> str:
@@ -32,85 +36,114 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def byte_letters() -> list[str]:
-    """The letter that byte-level BPE writes for each byte: printable Latin-1 bytes for themselves, the others from 256 on."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in own)}
-    return [chr(others.get(b, b)) for b in range(256)]
-
-
 class Encoder:
     """Byte-level BPE through the tokenizers library, remembering what it has encoded.
 
-    This pre-tokenizer always starts a piece at a space before a non-space, and BPE never crosses pieces, so a
-    text may be cut there and its parts encoded apart. A part of Latin letters and closing marks is two pieces, which
-    go straight to the library's model; any other goes through the library whole, and so do texts with added
-    tokens or unusual white space. The memory of parts is bounded: two generations, the older one dropped.
+    This pre-tokenizer always starts a piece at a space before a non-space, and BPE never crosses pieces, so a text
+    may be cut there. Arrow cuts and numbers the words of a slice; words not met lately go through the library
+    joined by spaces, and the tokens that begin with a space tell where each starts. Texts with added tokens or
+    unusual white space, and all texts under another pre-tokenizer, go through the library whole. The memory of words
+    is bounded: two generations, the older one dropped.
     """
 
-    def __init__(self, path: str, remember: int = 250_000):
+    def __init__(self, path: str, end_id: int, remember: int = 250_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        setup = json.loads(self.tokenizer.to_str())
+        cutter = setup["pre_tokenizer"] or {}
+        byte_level = cutter.get("type") == "ByteLevel" and not cutter["add_prefix_space"] and cutter.get("use_regex", True) and not setup["normalizer"]
+        self.uncut = "|".join([UNCUT, *(re.escape(t["content"]) for t in setup["added_tokens"])]) if byte_level else "^"
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.opens[[i for token, i in vocabulary.items() if token[:1] == "\u0120"]] = True  # a space, as this vocabulary writes it
+        self.end = np.array([end_id], dtype="<u4").tobytes()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
         self.remember = remember
-        letters = byte_letters()
-        self.mapped = {ord(" "): letters[32]} | {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
-
-    def parts(self, text: str) -> list[str]:
-        """The text's parts: those after a space without it, others after BARE."""
-        if ODD_SPACE.search(text) or any(s in text for s in self.special):
-            return [BARE + text]
-        if "  " in text or text[:1] == " " or text[-1:] == " " or " \n" in text or " \t" in text or " \r" in text or " \x0b" in text or " \x0c" in text:
-            return [p[1:] if p[:1] == " " and p[1:].strip() else BARE + p for p in SAFE_CUT.split(text)]
-        out = text.split(" ")
-        out[0] = BARE + out[0]
-        return out
 
-    def word(self, piece: str) -> bytes:
-        if (out := self.words.get(piece)) is None:
-            out = np.array([t.id for t in self.tokenizer.model.tokenize(piece.translate(self.mapped))], dtype="<u4").tobytes()
-            self.words[piece] = out
+    def library(self, texts: list[str]) -> list[np.ndarray]:
+        out = []
+        for i in range(0, len(texts), 64):
+            out += [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts[i : i + 64], add_special_tokens=False)]
         return out
 
-    def learn(self, parts: set[str], long: dict[str, bytes]) -> None:
-        odd = []
-        for key in parts:
-            if (old := self.older.get(key)) is not None:
-                self.known[key] = old
-            elif m := PLAIN.match(p := key[1:] if key[0] == BARE else " " + key):
-                self.known[key] = self.word(m[1]) + self.word(m[2]) if m[2] else self.word(m[1])
-            else:
-                odd.append((key, p))
-        for i in range(0, len(odd), 2000):
-            some = odd[i : i + 2000]
-            for (key, p), e in zip(some, self.tokenizer.encode_batch_fast([p for _, p in some], add_special_tokens=False), strict=True):
-                (self.known if len(p) < 64 else long)[key] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Little-endian 32-bit ids of each text."""
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of the current slice that aren't known; short ones stay known."""
+        new: dict[str, bytes] = {}
+        bare = [w for w in words if w[0] == BARE]
+        new.update(zip(bare, (x.tobytes() for x in self.library([w[1:] for w in bare])), strict=True))
+        spaced = [w for w in words if w[0] != BARE]
+        chunks = [spaced[i : i + 1000] for i in range(0, len(spaced), 1000)]
+        for chunk, ids in zip(chunks, self.library([" " + " ".join(c) for c in chunks]), strict=True):
+            at = (4 * np.flatnonzero(self.opens[ids])).tolist()
+            if len(at) != len(chunk) or at[0]:
+                raise ValueError("this tokenizer's pieces can't be told apart by their spaces")
+            raw = ids.tobytes()
+            new.update(zip(chunk, (raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True)), strict=True))
+        self.known.update(new)
+        for w in [w for w in new if len(w) >= 64]:
+            del self.known[w]
+        return new
+
+    def encode(self, texts: pa.Array) -> pa.ListArray:
+        """32-bit ids of each text, the end id after them."""
         if len(self.known) > self.remember:
             self.known, self.older = {}, self.known
-        if len(self.words) > self.remember:
-            self.words.clear()
-        known, long = self.known, {}
-        cut = [self.parts(t) for t in texts]
-        self.learn(set().union(*cut).difference(known), long)
-        get = (lambda p: known[p] if p in known else long[p]) if long else known.__getitem__
-        return [np.frombuffer(b"".join(map(get, parts)), dtype="<u4") for parts in cut]
-
-
-_ENCODERS: dict[str, Encoder] = {}
+        own = {END: self.end}
+        texts = pc.fill_null(texts, "")
+        uncut = pc.match_substring_regex(texts, self.uncut)
+        if pc.any(uncut).as_py():
+            ids = self.library(texts.filter(uncut).to_pylist())
+            names = [f"{WHOLE}{i}" for i in range(len(ids))]
+            own.update((BARE + n, x.tobytes()) for n, x in zip(names, ids, strict=True))
+            texts = pc.replace_with_mask(texts, uncut, pa.array(names, texts.type))
+        lists = pc.split_pattern(pc.binary_join_element_wise(BARE, texts, " " + END, ""), " ")
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        each = list(map(self.known.get, words))
+        missing = []
+        for i in [i for i, x in enumerate(each) if x is None]:
+            w = words[i]
+            if (x := own.get(w)) is not None:
+                each[i] = x
+            elif (x := self.older.get(w)) is not None:
+                each[i] = self.known[w] = x
+            else:
+                missing.append(i)
+        if missing:
+            new = self.learn([words[i] for i in missing])
+            for i in missing:
+                each[i] = new[words[i]]
+        flat = np.frombuffer(b"".join(each), dtype="<u4")
+        sizes = np.fromiter(map(len, each), dtype=np.int64, count=len(each)) // 4
+        starts = np.cumsum(sizes) - sizes
+        codes = coded.indices.to_numpy()
+        lengths = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        tokens = flat[np.repeat(starts[codes] - ends[:-1], lengths) + np.arange(ends[-1])]
+        places = lists.offsets.to_numpy()
+        return pa.ListArray.from_arrays(pa.array(ends[places - places[0]].astype(np.int32)), pa.array(tokens.astype(np.int32)))
+
+
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(path: str, end_id: int) -> Encoder:
+    """One per Python worker, kept between tasks."""
+    if (path, end_id) not in _ENCODERS:
+        _ENCODERS[path, end_id] = Encoder(path, end_id)
+    return _ENCODERS[path, end_id]
 
 
-def encoder(path: str) -> Encoder:
-    """One per Python worker, kept between tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about SLICE bytes of text, a row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)
+    group, at = (np.cumsum(sizes) - sizes) // SLICE, 0
+    for n in np.unique(group, return_counts=True)[1].tolist():
+        yield batch.slice(at, n)
+        at += n
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, group_mb: int = 32, page_rows: int = 2000) -> None:
@@ -121,17 +154,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, group_
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(tokenizer)
-        end = np.array([end_id], dtype="<u4")
+        coder = encoder(tokenizer, end_id)
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                some = batch.slice(at, 128)
-                ids = [np.concatenate([x, end]) for x in coder.encode([t or "" for t in some.column(1).to_pylist()])]
-                sizes = np.array([len(x) for x in ids], dtype=np.int64)
-                offsets = np.zeros(len(ids) + 1, dtype=np.int32)
-                offsets[1:] = np.cumsum(sizes)
-                tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(sizes), tokens], names=["doc_id", "bucket", "n_tokens", "tokens"])
+            for some in slices(batch, 1):
+                tokens = coder.encode(some.column(1))
+                sizes = tokens.value_lengths().cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), sizes, tokens], names=["doc_id", "bucket", "n_tokens", "tokens"])
 
     spark = bounded_batches(docs.sparkSession)
     ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first(), F.col("h"))

@@ -8,6 +8,7 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,8 +79,10 @@ def test_decontamination_equals_brute_force(spark, table, docs):
 def test_tokens_round_trip(spark, table, docs):
     path = tokens.default_tokenizer()
     assert rows_of(queries.QUERIES["op3_token_output"](spark, SF), "start", "n_tokens", "ids_crc32") == brute.tokens(plain(table), path)
-    coder, odd = tokens.Encoder(path, remember=50), ["", "  a  b ", "don't x's", "a<|endoftext|> b", "x\x1cy z", "naïve Straße, 中文 🙂  x \n y", LONG]
-    assert [x.tolist() for x in coder.encode(odd)] == [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in odd]
+    coder, odd = tokens.Encoder(path, 2, remember=50), ["", "  a  b ", "don't x's", "a 's b", "x\x1d0 \x1e", "\xa0 q", "z" * 100 + " " + "q" * 90, "a<|endoftext|> b", "x\x1cy z", "naïve Straße, 中文 🙂  x \n y", LONG]
+    for _ in range(3):
+        assert coder.encode(pa.array([*odd, None])).to_pylist() == [[*coder.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in [*odd, ""]]
+    assert coder.encode(pa.array([], pa.string())).to_pylist() == []
 
 
 def test_line_dedup(docs):
