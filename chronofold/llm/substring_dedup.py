@@ -10,11 +10,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, saved, window_hashes
+from .common import WordHashes
 
 #: A run has so many sentences at least, and goes on until it has so many words.
 SENTENCES, WORDS = 3, 16
@@ -67,27 +67,39 @@ def runs_of(raw: bytes, hashes: WordHashes) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def repeated_sentences(docs: DataFrame) -> DataFrame:
-    """(doc_id, gone): the places of the sentences under runs that occurred before."""
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """(doc_id, spans): the runs of each document that occurred before, as first sentence * 2**32 + last sentence.
 
-    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A slice of rows sends each run into the global comparison once, by its first place in the slice; its other places
+    there are known to be later and travel under keys of their own. So a run that every document holds meets itself
+    once a slice only, and the runs are shuffled once.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                rows = [(d, *r) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if t for r in runs_of(t, hashes)]
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                ids, texts = part.column(0).to_pylist(), part.column(1)
+                seen: dict[tuple[int, int], tuple] = {}
+                rows = []
+                for i in sorted(range(len(ids)), key=ids.__getitem__):
+                    for first, last, run, check in runs_of(texts[i].as_py() or b"", hashes):
+                        place = (ids[i], first)
+                        before = seen.setdefault((run, check), place)
+                        if before is place or before != place:
+                            rows.append((ids[i], first, last, run, check, before is not place))
                 if rows:
-                    columns = list(zip(*rows, strict=True))
-                    kinds = [part.column(0).type, pa.int32(), pa.int32(), pa.int64(), pa.int16()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "first", "last", "run", "check"])
+                    kinds = [part.column(0).type, pa.int32(), pa.int32(), pa.int64(), pa.int16(), pa.bool_()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=schema.names)
 
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType()), T.StructField("run", T.LongType()), T.StructField("check", T.ShortType())])
-    runs = saved(docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(spans, schema), "runs")
-    place = F.struct("doc_id", "first")
-    shared = runs.groupBy("run", "check").agg(F.min(place).alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    later = runs.join(shared, ["run", "check"]).filter(place > F.col("low"))
-    gone = later.select("doc_id", F.explode(F.sequence("first", "last")).alias("at")).distinct()
-    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_list("at")).alias("gone"))
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType()), T.StructField("run", T.LongType()), T.StructField("check", T.ShortType()), T.StructField("later", T.BooleanType())])
+    runs = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(compare, schema)
+    keyed = runs.withColumn("run", F.when(F.col("later"), F.xxhash64("doc_id", "first")).otherwise(F.col("run")))
+    order = Window.partitionBy("run", "check", "later").orderBy("doc_id", "first")
+    later = keyed.withColumn("nth", F.rank().over(order)).filter(F.col("later") | (F.col("nth") > 1))
+    span = F.shiftleft(F.col("first").cast("long"), 32) + F.col("last")
+    return later.groupBy("doc_id").agg(F.collect_set(span).alias("spans"))
 
 
 def dedup_sentences(docs: DataFrame) -> DataFrame:
@@ -97,7 +109,7 @@ def dedup_sentences(docs: DataFrame) -> DataFrame:
     none; rows without doc_id are kept as they are; rows that share a doc_id are one document. Runs are equal if
     their sentences' words are; the white space between words does not count.
     """
-    rows = docs.select("doc_id", "text").join(repeated_sentences(docs.select("doc_id", "text")), "doc_id", "left")
+    rows = docs.select("doc_id", "text").join(repeated_spans(docs.select("doc_id", "text")), "doc_id", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -105,10 +117,11 @@ def dedup_sentences(docs: DataFrame) -> DataFrame:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 counts, dropped, texts = [], [], []
-                for t, gone in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                for t, spans in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     parts = sentences_of(t or b"", hashes)
+                    gone = sorted({i for s in spans or () for i in range(s >> 32, (s & 0xFFFFFFFF) + 1)})
                     counts.append(len(parts))
-                    dropped.append(gone or [])
+                    dropped.append(gone)
                     if gone:
                         lost, kept, at = set(gone), [], 0
                         for i, (a, b, _) in enumerate(parts):
@@ -122,7 +135,7 @@ def dedup_sentences(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_sentences", "n_dropped", "dropped", "text"])
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n_sentences", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("dropped", T.StringType()), T.StructField("text", T.StringType())])
-    return rows.select("doc_id", F.col("text").cast("binary").alias("text"), "gone").mapInArrow(cut, schema)
+    return rows.select("doc_id", F.col("text").cast("binary").alias("text"), "spans").mapInArrow(cut, schema)
 
 
 def op8_sentence_spans(spark, sf_dir: str) -> DataFrame:
