@@ -46,7 +46,7 @@ class Encoder:
     is bounded: two generations, the older one dropped.
     """
 
-    def __init__(self, path: str, end_id: int, remember: int = 250_000):
+    def __init__(self, path: str, end_id: int, remember: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
