@@ -26,6 +26,8 @@ BARE, END, WHOLE = "\x1f", "\x1e", "\x1d"
 #: Texts that aren't cut at spaces: white space beyond ASCII's, control characters that regex engines disagree on, and
 #: spaces that don't stand between two non-spaces.
 UNCUT = "[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|^ | $| [ \t\n\r\x0b\x0c]"
+#: Letters of every Unicode version, then a character that is neither letter nor digit: a piece ends between them.
+STEM = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\\[-`{-~\n].*)", re.DOTALL)
 #: Bytes of text that are cut into words at a time.
 SLICE = 4 << 20
 
@@ -40,8 +42,9 @@ class Encoder:
     """Byte-level BPE through the tokenizers library, remembering what it has encoded.
 
     This pre-tokenizer always starts a piece at a space before a non-space, and BPE never crosses pieces, so a text
-    may be cut there. Arrow cuts and numbers the words of a slice; words not met lately go through the library
-    joined by spaces, and the tokens that begin with a space tell where each starts. Texts with added tokens or
+    may be cut there. Arrow cuts and numbers the words of a slice; letters with something after them are put together
+    from the ids of both (STEM). Words not met lately go through the library joined by spaces, and the tokens that
+    begin with a space tell where each starts. Texts with added tokens or
     unusual white space, and all texts under another pre-tokenizer, go through the library whole. The memory of words
     is bounded: two generations, the older one dropped.
     """
@@ -55,6 +58,8 @@ class Encoder:
         cutter = setup["pre_tokenizer"] or {}
         byte_level = cutter.get("type") == "ByteLevel" and not cutter["add_prefix_space"] and cutter.get("use_regex", True) and not setup["normalizer"]
         self.uncut = "|".join([UNCUT, *(re.escape(t["content"]) for t in setup["added_tokens"])]) if byte_level else "^"
+        if byte_level:
+            self.tokenizer.post_processor = None  # it only trims offsets
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.opens[[i for token, i in vocabulary.items() if token[:1] == "\u0120"]] = True  # a space, as this vocabulary writes it
@@ -101,21 +106,33 @@ class Encoder:
             texts = pc.replace_with_mask(texts, uncut, pa.array(names, texts.type))
         lists = pc.split_pattern(pc.binary_join_element_wise(BARE, texts, " " + END, ""), " ")
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         each = list(map(self.known.get, words))
-        missing = []
+        missing, parted = [], []
+        new: dict[str, bytes | None] = {}
         for i in [i for i, x in enumerate(each) if x is None]:
             w = words[i]
             if (x := own.get(w)) is not None:
                 each[i] = x
             elif (x := self.older.get(w)) is not None:
                 each[i] = self.known[w] = x
+            elif m := STEM.fullmatch(w):
+                stem, rest = m[1], BARE + m[2]
+                parted.append((i, stem, rest))
+                new[stem] = new[rest] = None
             else:
                 missing.append(i)
-        if missing:
-            new = self.learn([words[i] for i in missing])
+                new[w] = None
+        if new:
+            for w in new:
+                if (x := self.known.get(w)) is None and (x := self.older.get(w)) is not None:
+                    self.known[w] = x
+                new[w] = x
+            new.update(self.learn([w for w, x in new.items() if x is None]))
             for i in missing:
                 each[i] = new[words[i]]
+            for i, stem, rest in parted:
+                each[i] = new[stem] + new[rest]
         flat = np.frombuffer(b"".join(each), dtype="<u4")
         sizes = np.fromiter(map(len, each), dtype=np.int64, count=len(each)) // 4
         starts = np.cumsum(sizes) - sizes
