@@ -79,7 +79,7 @@ def test_decontamination_equals_brute_force(spark, table, docs):
 def test_tokens_round_trip(spark, table, docs):
     path = tokens.default_tokenizer()
     assert rows_of(queries.QUERIES["op3_token_output"](spark, SF), "start", "n_tokens", "ids_crc32") == brute.tokens(plain(table), path)
-    coder, odd = tokens.Encoder(path, 2, remember=50), ["", "  a  b ", "don't x's", "a 's b", "x\x1d0 \x1e", "\xa0 q", "z" * 100 + " " + "q" * 90, "a<|endoftext|> b", "x\x1cy z", "naïve Straße, 中文 🙂  x \n y", LONG]
+    coder, odd = tokens.Encoder(path, 2, remember=50), ["", "  a  b ", "don't x's", "a 's b", "x\x1d0 \x1e", "\xa0 q", "z" * 100 + " " + "q" * 90, "a<|endoftext|> b", "x\x1cy z", "naïve Straße, 中文 🙂  x \n y", "End.\nNext, q'd'm't a_b c-1 'sfoo ɏ.z ɐ.z İ!y é́.x", "b.\n\nc d\n\n e\r\nf. g\n", LONG]
     for _ in range(3):
         assert coder.encode(pa.array([*odd, None])).to_pylist() == [[*coder.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in [*odd, ""]]
     assert coder.encode(pa.array([], pa.string())).to_pylist() == []
