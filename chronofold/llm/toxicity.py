@@ -26,14 +26,19 @@ from .common import LOWER
 MAX_PER_LABEL = 4000
 NEIGHBOURS, BLOCK, VOCABULARY = 15, 64, 512
 THRESHOLD = 0.3
+#: Labelled rows whose words are so similar to those of another row of their label are copies of it.
+COPY = 0.8
 NOT_WORD_BYTE = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
+def words_of(raw: bytes | None) -> list[bytes]:
+    return (raw or b"").translate(LOWER).translate(NOT_WORD_BYTE).split()
+
+
 def terms_of(raw: bytes | None) -> Counter:
     """Words (lower-cased; ASCII letters, digits and all beyond ASCII) and their first four and five letters."""
-    words = Counter((raw or b"").translate(LOWER).translate(NOT_WORD_BYTE).split())
     out = Counter()
-    for w, n in words.items():
+    for w, n in Counter(words_of(raw)).items():
         out[w] += n
         if len(w) > 5:
             text = w.decode("utf-8", "ignore")
@@ -44,20 +49,29 @@ def terms_of(raw: bytes | None) -> Counter:
 
 
 def distinct_examples(rows: list[tuple[int, bytes, int]]) -> list[tuple[int, Counter, int]]:
-    """One of each family of near copies: rows that share two of four small minima of their words are copies."""
-    seen: set[tuple[int, int]] = set()
+    """The rows without copies: a row goes if its words are COPY or more similar (Jaccard, whole sets) to an earlier kept one of its label.
+
+    Sets so similar share a word among the first few of both, rarest first; only those are looked up, and each match
+    is then confirmed on the whole sets. Texts of under eight words always stay.
+    """
+    shared: dict[bytes, bytes] = {}  # one object for each term, whatever the number of rows that hold it
+    numbers: dict[bytes, int] = {}
+    words = [np.array(sorted({numbers.setdefault(w, len(numbers)) for w in words_of(raw)}), np.int32) for _, raw, _ in rows]
+    frequency = np.bincount(np.concatenate([np.zeros(0, np.int32), *words]), minlength=1)
+    kept: dict[tuple[int, int], list[int]] = defaultdict(list)
     out = []
-    for key, raw, label in rows:
-        terms = terms_of(raw)
-        hashes = np.fromiter((zlib.crc32(t) for t in terms if t[:1] != b"^"), np.uint64, -1)
-        if not len(hashes):
-            continue
-        minima = [int(((hashes * np.uint64(f)) & np.uint64(0xFFFFFFFF)).min()) for f in (2654435761, 2246822519, 3266489917, 668265263)]
-        pairs = [(minima[0], minima[1]), (minima[2], minima[3]), (minima[0], minima[2]), (minima[1], minima[3])]
-        if len(hashes) >= 8 and sum(p in seen for p in pairs) >= 1:
+    for i, (own, (key, raw, label)) in enumerate(zip(words, rows, strict=True)):
+        n = len(own)
+        if not n:
             continue
-        seen.update(pairs)
-        out.append((key, terms, label))
+        if n >= 8:
+            rare = own[np.lexsort((own, frequency[own]))][: n - math.ceil(COPY * n - 1e-9) + 1].tolist()
+            near = {j for t in rare for j in kept.get((label, t), ()) if COPY * n - 1e-9 <= len(words[j]) <= n / COPY + 1e-9}
+            if any((both := len(np.intersect1d(own, words[j], assume_unique=True))) >= COPY * (n + len(words[j]) - both) - 1e-9 for j in near):
+                continue
+            for t in rare:
+                kept[label, t].append(i)
+        out.append((key, Counter({shared.setdefault(t, t): k for t, k in terms_of(raw).items()}), label))
     return out
 
 

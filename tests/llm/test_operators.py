@@ -130,6 +130,23 @@ def test_toxicity_learns_terms_and_searches_exactly(spark, table):
     assert out.count() == table.count() and out.filter("score < 0 or score > 1 or score is null").count() == 0
 
 
+def test_toxicity_drops_only_confirmed_copies():
+    rng = np.random.default_rng(11)
+    words = [f"word{i}" for i in range(200)]
+    rows = [(i, " ".join(rng.choice(words, 40, replace=False)).encode(), i % 2) for i in range(400)]
+    assert [k for k, *_ in toxicity.distinct_examples(rows)] == [k for k, *_ in rows]
+    own = rows[0][1].split()
+    copies = [(1000, rows[0][1], 0), (1001, b" ".join([*own[:38], b"new1", b"new2"]), 0)]
+    others = [(1002, rows[0][1], 1), (1003, b" ".join([*own[:30], *(b"other%d" % i for i in range(10))]), 0)]
+    assert [k for k, *_ in toxicity.distinct_examples(rows + copies + others)] == [k for k, *_ in rows + others]
+    near = [(i, b" ".join(rng.choice(own, 35, replace=False).tolist()), i % 2) for i in range(60)]
+    sets, want = {k: set(t.split()) for k, t, _ in near}, []
+    for k, _, y in near:
+        if not any(y == v and len(sets[k] & sets[j]) >= 0.8 * len(sets[k] | sets[j]) for j, v in want):
+            want.append((k, y))
+    assert [(k, y) for k, _, y in toxicity.distinct_examples(near)] == want and len(want) < 60
+
+
 def test_toxicity_held_out(spark):
     out = queries.QUERIES["op5_toxicity"](spark, "/root/testdata/sf0.01").filter("held_out").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
     c = Counter((r["predicted"], r["toxic"]) for r in out.collect())
