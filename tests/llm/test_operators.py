@@ -267,3 +267,20 @@ def test_pipeline_stages_equal_brute_force(spark, table):
     assert max(taken.values()) <= 3 and all(r["text_crc32"] == zlib.crc32(docs[r["doc_id"]]["text"].encode()) for r in out)
     counts = Counter(r["shard"] for r in out)
     assert max(counts.values()) - min(counts.values()) <= 1
+
+
+def test_pipeline_keeps_texts_with_null_or_shared_ids(spark, tmp_path):
+    import corpus_pipeline as p
+
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"t{i}v{w}" for w in rng.integers(0, 10_000, 40)) for i in range(9)]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (None, None), (1, texts[2]), (1, texts[2]), (1, texts[3]), (2, texts[4]), (2, texts[5]), (3, texts[5]), (1, texts[6]), (None, texts[6]), (4, texts[7]), (4, texts[8])]
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = p.drop_near_duplicates(spark, docs, SF)
+    found = Counter((r["doc_id"], r["text"]) for r in left.collect())
+    assert found == Counter([(None, texts[0]), (None, texts[1]), (None, None), (1, texts[2]), (1, texts[3]), (2, texts[4]), (2, texts[5]), (1, texts[6]), (4, texts[7]), (4, texts[8])])
+    spark.createDataFrame([(1, texts[7]), (2, texts[0])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = p.drop_contaminated(spark, left, str(tmp_path))
+    assert Counter((r["doc_id"], r["text"]) for r in clean.collect()) == found - Counter([(4, texts[7]), (None, texts[0])])
+    mixed = Counter((r["doc_id"], r["text"]) for r in p.mix_sources(spark, clean.filter("text is not null"), SF).collect())
+    assert set(mixed) == set(found) - {(4, texts[7]), (None, texts[0]), (None, None)}
