@@ -1,6 +1,6 @@
 """Substring dedup by sliding sentence spans.
 
-Every run of several consecutive sentences is hashed and joined globally; a sentence goes if any run over it
+Every run of consecutive sentences with enough words is hashed and joined globally; a sentence goes if any run over it
 occurred before (by doc_id, then place).
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,13 +17,21 @@ from pyspark.sql import types as T
 
 from .common import WordHashes
 
-#: A run has so many sentences at least, and goes on until it has so many words.
-SENTENCES, WORDS = 3, 16
-#: A longer sentence is cut where its own words say so, about every eight words, so copies are cut alike.
-LONG = 16
+#: A run goes on until it has so many words.
+WORDS = 16
+#: A longer sentence is cut after each word whose hash is the smallest (the last of equals) of any SPAN words in a row
+#: within it. Copies are cut alike but for SPAN - 1 words at their ends, and no piece is longer than SPAN. So a stretch
+#: of over 50 words (same words, stops and line ends) loses 17 at most at either end, and the rest holds a common run.
+LONG, SPAN = 16, 9
 END = re.compile(rb"(?<=[.!?])[\x20\x09-\x0D]+|\n")
 
 
+def cuts_of(h: np.ndarray) -> set[int]:
+    """The places of the smallest hash, the last of equals, of every SPAN hashes in a row."""
+    windows = np.lib.stride_tricks.sliding_window_view(h[::-1], SPAN)
+    return set((len(h) - 1 - np.arange(len(windows)) - windows.argmin(axis=1)).tolist())
+
+
 def sentences_of(raw: bytes, hashes: WordHashes) -> list[tuple[int, int, int]]:
     """(begin, end, number of words) of each sentence with a word, in bytes; together they hold every word."""
     out, at, n = [], 0, len(raw)
@@ -33,11 +42,11 @@ def sentences_of(raw: bytes, hashes: WordHashes) -> list[tuple[int, int, int]]:
             if words:
                 out.append((at, stop, len(words)))
         else:
-            place, count, begin = at, 0, at
-            for w, h in zip(words, hashes(words).tolist(), strict=True):
+            place, count, begin, cuts = at, 0, at, cuts_of(hashes(words))
+            for i, w in enumerate(words):
                 place = raw.index(w, place) + len(w)
                 count += 1
-                if h & 7 == 0 or count >= 64:
+                if i in cuts:
                     out.append((begin, place, count))
                     begin, count = place, 0
             if count:
@@ -47,19 +56,19 @@ def sentences_of(raw: bytes, hashes: WordHashes) -> list[tuple[int, int, int]]:
 
 
 def runs_of(raw: bytes, hashes: WordHashes) -> list[tuple[int, int, int, int]]:
-    """(first, last, hash, check) of the runs: from each sentence on, the shortest of enough sentences and words."""
+    """(first, last, hash, check) of the runs: from each sentence on, the shortest of enough words."""
     parts = sentences_of(raw, hashes)
-    if len(parts) < SENTENCES:
+    if sum(n for *_, n in parts) < WORDS:
         return []
     import xxhash
 
     each = [b" ".join(raw[a:b].split()) for a, b, _ in parts]
     out, last, words = [], 0, 0
     for first in range(len(parts)):
-        while last < len(parts) and (last - first < SENTENCES or words < WORDS):
+        while last < len(parts) and words < WORDS:
             words += parts[last][2]
             last += 1
-        if last - first < SENTENCES or words < WORDS:
+        if words < WORDS:
             break
         h = xxhash.xxh3_128_intdigest(b"\n".join(each[first:last]))
         out.append((first, last - 1, (h >> 64) - (1 << 63), (h & 0xFFFF) - (1 << 15)))
@@ -105,8 +114,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 def dedup_sentences(docs: DataFrame) -> DataFrame:
     """(doc_id, text) as doc_id, n_sentences, n_dropped, dropped, text, without the sentences of repeated runs.
 
-    A null text stays null and has no sentences; a text of fewer than three sentences or sixteen words loses
-    none; rows without doc_id are kept as they are; rows that share a doc_id are one document. Runs are equal if
+    A null text stays null and has no sentences; a text of fewer than sixteen words loses none; rows without doc_id are kept as they are; rows that share a doc_id are one document. Runs are equal if
     their sentences' words are; the white space between words does not count.
     """
     rows = docs.select("doc_id", "text").join(repeated_spans(docs.select("doc_id", "text")), "doc_id", "left")

@@ -111,6 +111,23 @@ def test_sentence_spans_equal_brute_force(table):
     assert {d: n for d, (n,) in rows_of(substring_dedup.dedup_sentences(table), "n_dropped").items() if n} == dict(want)
 
 
+def test_sentence_spans_find_every_passage_of_over_fifty_words():
+    rng = np.random.default_rng(4)
+    hashes = substring_dedup.WordHashes()
+
+    def prose(n, stops, vocabulary):
+        return [f"v{w}" + ("." if rng.random() < stops else "") for w in rng.integers(0, vocabulary, n)]
+
+    for i in range(3000):
+        stops, vocabulary = rng.choice([0, 0.03, 0.1, 0.3]), int(rng.choice([3, 50, 5000]))
+        passage = prose(51 + i % 10, stops, vocabulary)
+        runs = []
+        for _ in range(2):
+            before, after = ([f"o{rng.integers(1 << 40)}" + ("." if rng.random() < 0.05 else "") for _ in range(rng.integers(0, 60))] for _ in range(2))
+            runs.append({r[2:] for r in substring_dedup.runs_of(" ".join(before + passage + after).encode(), hashes)})
+        assert runs[0] & runs[1], (i, passage)
+
+
 def test_toxicity_learns_terms_and_searches_exactly(spark, table):
     rng = np.random.default_rng(3)
     words = [f"word{i}" for i in range(300)]
