@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, partitions, saved, small_enough
+from .common import lower_ascii, saved, small_enough
 
 #: Any run of these separates words: ASCII but for digits and lower-case letters.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -54,7 +54,6 @@ def phrase_matches(docs: DataFrame, phrases: DataFrame, lists: int = 3, slack: i
     Proximity: the phrase's rarest terms, shifted to a common start, lie within slack words of the rarest one.
     Null ids and texts match nothing; rows that share a doc_id share its matches.
     """
-    spark = docs.sparkSession
     phrases = saved(phrases, "phrases")
     worded = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", words_of(F.col("text")).alias("words"))
     vocabulary = phrases.select(F.explode("words").alias("term")).distinct()
@@ -82,8 +81,7 @@ def phrase_matches(docs: DataFrame, phrases: DataFrame, lists: int = 3, slack: i
     strict = candidates.filter(~F.col("loose"))
     ids = small_enough(strict.select("doc_id").distinct())
     texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("doc_id", words_of(F.col("text")).alias("in_doc"))
-    if partitions(spark) > 1:
-        strict = strict.select("phrase", "words", "doc_id", F.explode("starts").alias("start"))
+    strict = strict.select("phrase", "words", "doc_id", F.explode("starts").alias("start"))
     compared = strict.join(texts, "doc_id").filter(F.col("start") >= 0).filter(F.slice("in_doc", F.col("start") + 1, F.size("words")) == F.col("words"))
     exact = compared.select("phrase", "doc_id", "start", F.size("words").alias("length")).distinct()
     return exact, near

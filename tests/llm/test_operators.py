@@ -76,6 +76,18 @@ def test_decontamination_equals_brute_force(spark, table, docs):
     assert dc.decontaminate(docs, few_items.limit(0)).filter("n_hit > 0").count() == 0
 
 
+def test_decontamination_with_one_shuffle_partition(spark, docs):
+    items = [(1, "the third line ends it with a few more words")]
+    named, key = docs.filter("doc_id is not null"), "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1")
+    try:
+        found = dc.decontaminate(named, spark.createDataFrame(items, "item_id long, text string"))
+        assert rows_of(found, "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == brute.decontaminate(plain(named), items)
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_tokens_round_trip(spark, table, docs):
     path = tokens.default_tokenizer()
     assert rows_of(queries.QUERIES["op3_token_output"](spark, SF), "start", "n_tokens", "ids_crc32") == brute.tokens(plain(table), path)
