@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,20 +16,37 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 #: A-Z to a-z and nothing else. bytes.split() cuts at exactly the characters of WORD_GAP.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 UPPER_ASCII, LOWER_ASCII = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows that may be broadcast; beyond it the same join shuffles.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes that may be broadcast; beyond either the same join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
+#: Rows of narrow tables that one task takes.
+TASK_ROWS = 100_000
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bounded_batches(spark: SparkSession) -> SparkSession:
-    """Batches of 1,000 rows instead of Spark's default of 10,000 for what goes to Python; a setting of one's own stays."""
+@contextmanager
+def bounded_batches(spark: SparkSession) -> Iterator[None]:
+    """Within it, batches of 1,000 rows instead of Spark's default of 10,000 go to Python; a setting of one's own stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
+    before = spark.conf.get(key)
+    if before == "10000":
         spark.conf.set(key, "1000")
-    return spark
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to clash with no column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -47,40 +66,72 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors.
 
-    The folder belongs to the run; whoever owns spark.checkpoint.dir removes it afterwards.
+    tasks: at most so many write, for tables known to be small. The folder belongs to the run; whoever owns
+    spark.checkpoint.dir removes it afterwards.
     """
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df if tasks is None else df.coalesce(tasks)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows (counted now); else df, and the join shuffles."""
-    n = df.limit(rows + 1).count()
-    return F.broadcast(df) if n <= rows else df
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Tasks for so many narrow rows: in proportion, up to the session's shuffle partitions."""
+    return min(partitions(spark), 1 + rows // TASK_ROWS)
+
+
+def small_enough(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df with a broadcast hint if its rows and bytes (measured now) are few enough; else df, and the join shuffles."""
+    rows = BROADCAST_ROWS if rows is None else rows
+    loose = [f.name for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    nested = [f.name for f in df.schema if f.dataType.typeName() in ("array", "map", "struct")]
+    wide = [F.octet_length(F.col(c)) for c in loose] + [F.octet_length(F.to_json(F.struct(c))) for c in nested]
+    each = sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(16 * len(df.columns)))
+    n, size = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(each.cast("long"))).first()
+    return F.broadcast(df) if n <= rows and (size or 0) <= BROADCAST_BYTES else df
+
+
+def running(df: DataFrame, keys: list[Column], sums: dict[str, Column], rows: int | None = None) -> DataFrame:
+    """df with, for each name in sums, the sum of its column over the rows before in the order of keys.
+
+    One range shuffle; sums inside each range, plus the totals of the ranges before it, so no task sees more than
+    one range and only one row per range meets anywhere. rows: how many df has, if known, to size the ranges.
+    Rows equal in all keys come in any order.
+    """
+    spark = df.sparkSession
+    n = partitions(spark) if rows is None else tasks_for(spark, rows)
+    at, part, *parts = free(df, "_at", "_range", *[f"_before_{k}" for k in sums])
+    laid = df.select("*", *[c.alias(k) for k, c in sums.items()]).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    laid = saved(laid.withColumn(at, F.monotonically_increasing_id()), "running").withColumn(part, F.shiftright(at, 33))
+    totals = laid.groupBy(part).agg(*[F.sum(k).alias(p) for k, p in zip(sums, parts, strict=True)])
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    # one row per range partition: bounded by the partition count, whatever the data
+    before = F.broadcast(totals.select(part, *[F.coalesce(F.sum(p).over(earlier), F.lit(0)).alias(p) for p in parts]))
+    inside = Window.partitionBy(part).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    out = laid.join(before, part).withColumns({k: F.col(p) + F.coalesce(F.sum(k).over(inside), F.lit(0)) for k, p in zip(sums, parts, strict=True)})
+    return out.drop(at, part, *parts)
 
 
-def ranked(df: DataFrame, keys: list[Column], rank: str) -> tuple[DataFrame, int]:
+def ranked(df: DataFrame, keys: list[Column], rank: str, rows: int | None = None) -> tuple[DataFrame, int]:
     """df with its 0-based place in the order of keys, and the number of rows.
 
     One range shuffle; ranks come from the row numbers inside each range plus the sizes of the ranges before
     it, so no task sees more than one range and only one row per range meets anywhere.
     """
     spark = df.sparkSession
-    laid = saved(
-        df.repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()),
-        "ranked",
-    ).withColumn("_range", F.shiftright("_at", 33))
-    sizes = laid.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
-    total = sizes.agg(F.sum("_n")).first()[0] or 0
-    local = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    n = partitions(spark) if rows is None else tasks_for(spark, rows)
+    at, part, size, first = free(df, "_at", "_range", "_n", "_before")
+    laid = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn(at, F.monotonically_increasing_id())
+    laid = saved(laid, "ranked").withColumn(part, F.shiftright(at, 33))
+    sizes = laid.groupBy(part).agg(F.count(F.lit(1)).alias(size))
+    before = sizes.select(part, (F.sum(size).over(Window.orderBy(part)) - F.col(size)).alias(first))
+    total = sizes.agg(F.sum(size)).first()[0] or 0
+    local = F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
     # one row per range partition: bounded by the partition count, whatever the data
-    out = laid.join(F.broadcast(before), "_range").withColumn(rank, F.col("_before") + local)
-    return out.drop("_range", "_at", "_before"), total
+    out = laid.join(F.broadcast(before), part).withColumn(rank, F.col(first) + local)
+    return out.drop(part, at, first), total
 
 
 def word_count(text: Column) -> Column:
@@ -106,9 +157,8 @@ class WordHashes:
         known, h = self.known, xxhash.xxh3_64_intdigest
         if len(known) > self.limit:
             known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = h(w)
+        for w in set(words).difference(known):
+            known[w] = h(w)
         return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, small_enough, word_count
+from .common import ranked, running, saved, small_enough, word_count
 
 #: Buckets per unit of ln(key). The share of a bucket in its source is below 1 / FINE, whatever the qualities.
 FINE = 1024
@@ -21,21 +21,21 @@ def water_levels(sizes: DataFrame, weights: list[int], total: float = 1.0, cap:
 
     Sources by code point, null last, weigh as in weights, again and again. Together they get total times all
     sizes; none gets more than cap times its own size, and the excess goes to the others by weight, until no one
-    is above: sorted by cap / weight, a source is capped while its cap lies under the common level. One row per
-    source meets in these windows.
+    is above: sorted by cap / weight, a source is capped while its cap lies under the common level. Ranks and
+    sums run over ranges of sources, so there may be millions of them.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(x) for x in weights]), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
-    rows = sizes.withColumn("_w", w.cast("double")).withColumn("_cap", F.col("source_size") * F.lit(float(cap)))
-    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing).orderBy(F.col("source").asc_nulls_last())
-    rows = rows.withColumn("_t", F.sum("source_size").over(every) * F.lit(float(total))).withColumn("_ww", F.sum("_w").over(every))
-    level = Window.orderBy(F.col("_cap") / F.col("_w"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    before = rows.withColumn("_c", F.coalesce(F.sum("_cap").over(level), F.lit(0.0))).withColumn("_wb", F.coalesce(F.sum("_w").over(level), F.lit(0.0)))
-    before = before.withColumn("_level", (F.col("_t") - F.col("_c")) / (F.col("_ww") - F.col("_wb"))).withColumn("_full", F.col("_cap") / F.col("_w") <= F.col("_level"))
+    n, everything = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("source_size"), F.lit(0))).first()
+    named, _ = ranked(sizes.select("source", "source_size"), [F.col("source").asc_nulls_last()], "_nth", n)
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod("_nth", F.lit(len(weights))) + 1).cast("int"))
+    rows = named.withColumn("_w", w).withColumn("_cap", F.col("source_size") * F.lit(float(cap)))
+    ratio = F.col("_cap") / F.col("_w")
+    rows = running(rows, [ratio, F.col("source").asc_nulls_last()], {"_c": F.col("_cap"), "_wb": F.col("_w")}, n)
+    all_w = float(sum(weights) * (n // len(weights)) + sum(weights[: n % len(weights)]))
+    rows = rows.withColumn("_level", (F.lit(everything * float(total)) - F.col("_c")) / (F.lit(all_w) - F.col("_wb"))).withColumn("_full", ratio <= F.col("_level"))
     # the first source that is not full sets the level of all that are not
-    free = F.min(F.when(~F.col("_full"), F.struct(F.col("_cap") / F.col("_w"), F.col("_level")))).over(every)
-    target = F.when(F.col("_full"), F.col("_cap")).otherwise(F.col("_w") * free["_level"])
-    return before.withColumn("target", F.coalesce(target, F.lit(0.0))).select("source", "source_size", "target")
+    free = rows.filter(~F.col("_full")).agg(F.min(F.struct(ratio, F.col("_level").alias("level")))["level"]).first()[0]
+    target = F.when(F.col("_full"), F.col("_cap")).otherwise(F.col("_w") * F.lit(0.0 if free is None else free))
+    return rows.select("source", "source_size", target.alias("target"))
 
 
 def sample_key(doc_id, quality, seed: str):
@@ -48,12 +48,14 @@ def sample_key(doc_id, quality, seed: str):
 def mix(docs: DataFrame, weights: list[int], total: float = 1.0, cap: float = 3.0, seed: str = "mix") -> DataFrame:
     """(doc_id, source, size, quality) with source_size, target and times: how often the mix takes the document.
 
+    Other columns of docs are left out.
     Sizes of null count 0, qualities of null or below 0.01 count 0.01. The last, partial epoch stops at the
     document whose middle passes the rest of the target, so a source misses it by half a document at most. Equal
     keys go by doc_id, then size; rows equal in all three are interchangeable. Empty tables stay empty.
     A hot source is never in one task: sizes are summed by key bucket, and only the one bucket of each source in
     which the rest of its target ends is put in order.
     """
+    docs = docs.select("doc_id", "source", "size", "quality")
     size = F.coalesce("size", F.lit(0)).cast("long")
     quality = F.greatest(F.coalesce("quality", F.lit(0.01)), F.lit(0.01))
     rows = docs.withColumn("size", size).withColumn("_key", sample_key(F.col("doc_id"), quality, seed))
@@ -74,7 +76,7 @@ def mix(docs: DataFrame, weights: list[int], total: float = 1.0, cap: float = 3.
     whole = rows.filter(~on_edge).withColumn("_more", (F.col("_at").isNull() | (F.col("_bucket") < F.col("_at"))) & (F.col("_rest") > 0))
     inside = Window.partitionBy("source", "_bucket").orderBy("_key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     middle = F.col("_before") + F.sum("size").over(inside) - F.col("size") / 2
-    edge_rows = rows.filter(on_edge).withColumn("_more", middle <= F.col("_rest"))
+    edge_rows = rows.filter(on_edge).withColumn("_more", (middle <= F.col("_rest")) & (F.col("_rest") > 0))
     out = whole.unionByName(edge_rows).withColumn("times", (F.col("_epochs") + F.col("_more").cast("long")).cast("long"))
     return out.drop("_key", "_bucket", "_at", "_before", "_epochs", "_rest", "_more")
 
