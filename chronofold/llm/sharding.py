@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ranked
+from .common import free, ranked, running, saved
 
 BITS = 5
 
@@ -45,7 +45,7 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 def as_number(df: DataFrame, column: str) -> Column:
-    """A double in the column's own order: numbers and times as they are, texts by their first six bytes."""
+    """A double in the column's own order, for numbers and times."""
     kind = df.schema[column].dataType
     if isinstance(kind, T.NumericType | T.BooleanType):
         return F.col(column).cast("double")
@@ -53,22 +53,54 @@ def as_number(df: DataFrame, column: str) -> Column:
         return F.unix_date(column).cast("double")
     if isinstance(kind, T.TimestampType | T.TimestampNTZType):
         return F.col(column).cast("timestamp").cast("double")
-    return F.conv(F.hex(F.rpad(F.substring(F.col(column).cast("binary"), 1, 6), F.lit(6), F.lit(b"\0"))), 16, 10).cast("double")
+    raise TypeError(f"{column} is neither a number nor a time")
+
+
+def is_text(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, T.StringType | T.BinaryType)
+
+
+def text_cuts(df: DataFrame, column: str, cells: int) -> list:
+    """At most cells - 2 whole values that cut the column's rows into even parts, ascending.
+
+    Distinct values are counted, put in order by ranges and weighed by their rows; a value with many rows is a cell
+    of its own.
+    """
+    counts = saved(df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n")), "values")
+    values, rows = counts.agg(F.count(F.lit(1)), F.sum("n")).first()
+    if not values:
+        return []
+    placed = running(counts, [F.col("v")], {"before": F.col("n")}, values)
+    cell = F.floor(F.col("before") * (cells - 1) / rows)
+    least = placed.groupBy(cell.alias("cell")).agg(F.min("v").alias("v")).filter("cell > 0")
+    return sorted((r["v"] for r in least.collect()), key=lambda v: v.encode() if isinstance(v, str) else bytes(v))  # fewer than cells
 
 
 def with_hilbert(df: DataFrame, dims: list[str], bits: int = BITS, out: str = "hilbert") -> DataFrame:
-    """df with its place on the curve. Quantiles cover all rows; nulls take cell 0 of their dimension."""
-    numbers = [as_number(df, d) for d in dims]
-    steps = [i / (2**bits - 1) for i in range(1, 2**bits - 1)]
-    cuts = df.select(*[F.percentile_approx(n, steps, 1000).alias(f"q{i}") for i, n in enumerate(numbers)]).first()
-    bounds = [np.unique(np.array(c if c is not None else [], dtype=float)) for c in cuts]
+    """df with its place on the curve. Quantiles cover all rows and whole values; nulls take cell 0 of their dimension."""
+    cells = 2**bits
+    steps = [i / (cells - 1) for i in range(1, cells - 1)]
+    numbers = {d: as_number(df, d) for d in dims if not is_text(df, d)}
+    cuts = df.select(F.lit(0), *[F.percentile_approx(n, steps, 1000).alias(f"q{i}") for i, n in enumerate(numbers.values())]).first() if numbers else [None]
+    bounds = {d: np.unique(np.array(c if c is not None else [], dtype=float)) for d, c in zip(numbers, cuts[1:], strict=True)}
+    columns = []
+    for d in dims:
+        if d in numbers:
+            columns.append(numbers[d])
+        else:
+            above = [(F.col(d) >= F.lit(v)).cast("int") for v in text_cuts(df, d, cells)]
+            columns.append(F.coalesce(sum(above, F.lit(1)), F.lit(0)).cast("double"))
+    limits = [bounds.get(d) for d in dims]
 
     @F.pandas_udf("long")
     def place(*columns: pd.Series) -> pd.Series:
-        cells = [np.where(c.isna(), 0, np.searchsorted(b, c.to_numpy(dtype=float, na_value=np.nan), side="right") + 1) for c, b in zip(columns, bounds, strict=True)]
-        return pd.Series(hilbert_index(np.minimum(np.stack(cells, axis=1), 2**bits - 1), bits))
+        grid = []
+        for c, b in zip(columns, limits, strict=True):
+            x = c.to_numpy(dtype=float, na_value=np.nan)
+            grid.append(x if b is None else np.where(np.isnan(x), 0, np.searchsorted(b, x, side="right") + 1))
+        return pd.Series(hilbert_index(np.minimum(np.stack(grid, axis=1), cells - 1), bits))
 
-    return df.withColumn(out, place(*numbers))
+    return df.withColumn(out, place(*columns))
 
 
 def hilbert_shards(df: DataFrame, dims: list[str], shards: int, ties: list[str], bits: int = BITS) -> DataFrame:
@@ -78,10 +110,12 @@ def hilbert_shards(df: DataFrame, dims: list[str], shards: int, ties: list[str],
     first; rows equal in all of them are interchangeable. An empty table stays empty. With fewer rows than
     shards some shards stay empty. The columns hilbert, shard and slot replace any input columns so named.
     """
-    laid, total = ranked(with_hilbert(df.drop("hilbert", "shard", "slot"), dims, bits), [F.col("hilbert").asc(), *[F.col(c).asc_nulls_first() for c in ties]], "_rank")
-    n, k = F.lit(max(total, 1)).cast("long"), F.lit(shards).cast("long")
-    laid = laid.withColumn("_n", n).withColumn("_k", k).withColumn("shard", F.expr("cast(_rank * _k div _n as int)"))
-    return laid.withColumn("slot", F.expr("_rank - (shard * _n + _k - 1) div _k")).drop("_rank", "_n", "_k")
+    placed = with_hilbert(df.drop("hilbert", "shard", "slot"), dims, bits)
+    rank, size, count = free(placed, "_rank", "_size", "_count")
+    laid, total = ranked(placed, [F.col("hilbert").asc(), *[F.col(c).asc_nulls_first() for c in ties]], rank)
+    laid = laid.withColumn(size, F.lit(max(total, 1)).cast("long")).withColumn(count, F.lit(shards).cast("long"))
+    laid = laid.withColumn("shard", F.expr(f"cast(`{rank}` * `{count}` div `{size}` as int)"))
+    return laid.withColumn("slot", F.expr(f"`{rank}` - (shard * `{size}` + `{count}` - 1) div `{count}`")).drop(rank, size, count)
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
