@@ -164,29 +164,33 @@ def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, group_mb: int = 32, page_rows: int = 2000) -> None:
-    """Write (doc_id, text) as (doc_id, bucket, n_tokens, tokens) in ascending doc_id order, nulls first.
+    """Write (doc_id, text) as (doc_id, bucket, place, n_tokens, tokens) in ascending doc_id order, nulls first.
 
     A null text is empty: its ids are the end id alone. Rows with equal doc_id go by text hash; equal rows are
-    interchangeable. bucket is the number of the range that a file holds, ascending with doc_id.
+    interchangeable. bucket is the number of the range that a file holds, ascending with doc_id; place numbers the
+    rows of a bucket in the order in which they were written.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(tokenizer, end_id)
+        coder, place = encoder(tokenizer, end_id), 0
         for batch in batches:
             for some in slices(batch, 1):
                 tokens = coder.encode(some.column(1))
                 sizes = tokens.value_lengths().cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), sizes, tokens], names=["doc_id", "bucket", "n_tokens", "tokens"])
+                places = pa.array(np.arange(place, place + some.num_rows))
+                place += some.num_rows
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), places, sizes, tokens], names=["doc_id", "bucket", "place", "n_tokens", "tokens"])
 
-    spark = bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
     ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first(), F.col("h"))
     ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h").select("doc_id", "text", F.spark_partition_id().alias("bucket"))
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("bucket", T.IntegerType()), T.StructField("n_tokens", T.LongType()), T.StructField("tokens", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("bucket", T.IntegerType()), T.StructField("place", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("tokens", T.ArrayType(T.IntegerType()))])
     options = {
         "parquet.block.size": group_mb << 20, "parquet.page.row.count.limit": page_rows, "parquet.writer.version": "v2", "compression": "zstd",
-        "parquet.enable.dictionary": "true", "parquet.enable.dictionary#doc_id": "false", "parquet.enable.dictionary#n_tokens": "false",
+        "parquet.enable.dictionary": "true", "parquet.enable.dictionary#doc_id": "false", "parquet.enable.dictionary#place": "false", "parquet.enable.dictionary#n_tokens": "false",
     }
-    ordered.mapInArrow(encode, schema).write.options(**options).parquet(path)
+    with bounded_batches(spark):
+        ordered.mapInArrow(encode, schema).write.options(**options).parquet(path)
 
 
 def token_digests(spark, path: str, id_type: T.DataType) -> DataFrame:
@@ -195,18 +199,18 @@ def token_digests(spark, path: str, id_type: T.DataType) -> DataFrame:
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
+            lists = batch.column(3)
             ends, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
             raw = memoryview(np.ascontiguousarray(values.astype("<u4"))).cast("B")
             crc = pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((ends[1:] - ends[:-1]).astype(np.int64)), crc], names=["doc_id", "bucket", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array((ends[1:] - ends[:-1]).astype(np.int64)), crc], names=["doc_id", "bucket", "place", "n_tokens", "ids_crc32"])
 
-    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("bucket", T.IntegerType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
-    rows = spark.read.parquet(path).select("doc_id", "bucket", "tokens").mapInArrow(digest, schema)
+    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("bucket", T.IntegerType()), T.StructField("place", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
+    rows = spark.read.parquet(path).select("doc_id", "bucket", "place", "tokens").mapInArrow(digest, schema)
     # metadata alone, from the files' delta-encoded columns; one row per file range meets in the window
     sizes = spark.read.parquet(path).groupBy("bucket").agg(F.sum("n_tokens").alias("_n"))
     before = sizes.select("bucket", (F.sum("_n").over(Window.orderBy("bucket")) - F.col("_n")).alias("_before"))
-    inside = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "ids_crc32").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("bucket").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = rows.join(F.broadcast(before), "bucket").withColumn("start", F.col("_before") + F.sum("n_tokens").over(inside) - F.col("n_tokens"))
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
@@ -217,6 +221,7 @@ def read_tokens(spark, path: str, low: int, high: int) -> DataFrame:
 
 
 def op3_token_output(spark, sf_dir: str) -> DataFrame:
+    """All documents' token ids written and read back. A null text counts as empty; rows that share a doc_id follow each other in file order."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     path = shared_path(spark, "tokens")
     write_tokens(docs, path, default_tokenizer(), 2)
