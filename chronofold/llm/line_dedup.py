@@ -1,78 +1,134 @@
 """Line dedup by winnowing over line hashes. DataFrame functions only.
 
-Every window of width consecutive lines gives its rightmost smallest line hash as a fingerprint, so two runs of
-width equal lines are sure to share one. Fingerprints that occur once in the corpus end there. Around the others
-every window that holds the fingerprint is compared, which extends a match both ways as far as it goes; all but
-the first occurrence (by doc_id, then place) of a run are deleted.
+Lines with a word are hashed. A window is one line or two that have enough words, or any three lines. Each window
+selects its rightmost smallest line hash as its fingerprint, so two equal runs are sure to share fingerprints.
+Fingerprints found once in the corpus end there. Around the others the windows that selected them are compared:
+a window's place is joined with the first place of the same window, matches that go on at the same distance are
+extended both ways into runs, and all lines of later runs are deleted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved
 
-WIDTH = 3
+#: Lines of the longest window, and the words that make shorter ones count.
+WIDTH, WORDS = 3, 12
+#: Shares that the places of one fingerprint or window are dealt to in joins.
+SALTS = 16
+BLANKS = " \t\r\x0b\x0c"
 
 
-def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, at): windows of width lines with words, at being the place among such lines, that occurred before."""
-    lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(" \t\r\x0b\x0c")) != "")
-    hashed = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.transform(lines, lambda x: F.xxhash64(x)).alias("h"), F.transform(lines, lambda x: F.crc32(x.cast("binary"))).alias("c"))
-    places = F.sequence(F.lit(0), F.size("h") - width)
-    windows = hashed.filter(F.size("h") >= width).select("doc_id", "h", "c", F.explode(places).alias("at"))
-    pieces = [F.col("h")[F.col("at") + k] for k in range(width)]
-    checks = [F.col("c")[F.col("at") + k] for k in range(width)]
-    least = F.least(*pieces)
-    anchor = F.coalesce(*[F.when(pieces[k] == least, F.col("at") + k) for k in reversed(range(width))])
-    windows = saved(windows.select("doc_id", "at", least.alias("mark"), anchor.alias("anchor"), F.xxhash64(*pieces).alias("run"), F.xxhash64(*checks, F.lit(7)).alias("check")), "line-windows")
-    marks = windows.groupBy("mark").agg(F.min(F.struct("doc_id", "anchor")).alias("low"), F.max(F.struct("doc_id", "anchor")).alias("high")).filter(F.col("low") != F.col("high")).select("mark")
-    shared = windows.join(marks, "mark", "left_semi")
-    first = shared.groupBy("run", "check").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max(F.struct("doc_id", "at")).alias("last")).filter(F.col("first") != F.col("last"))
-    later = shared.join(first.drop("last"), ["run", "check"]).filter(F.struct("doc_id", "at") > F.col("first"))
-    return later.select("doc_id", "at").distinct()
+def hashed_lines(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text, lines): lines with a word, as (raw line number, number of words, two hashes)."""
+    numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), F.btrim(x, F.lit(BLANKS)).alias("core"), x.alias("x")))
+    lines = F.transform(
+        F.filter(numbered, lambda z: z["core"] != ""),
+        lambda z: F.struct(z["i"].alias("i"), F.regexp_count(z["core"], F.lit(r"[^\x20\x09-\x0D]+")).alias("w"), F.xxhash64(z["x"]).alias("h"), F.crc32(z["x"].cast("binary")).alias("c")),
+    )
+    return docs.select("doc_id", "text", F.coalesce(lines, F.array().cast("array<struct<i:int,w:int,h:bigint,c:bigint>>")).alias("lines")).withColumn("row", F.monotonically_increasing_id())
+
+
+def windows_of(rows: DataFrame, width: int, words: int) -> DataFrame:
+    """(place, at, size, mark, run, check): every window of up to width lines that counts, with its fingerprint.
+
+    place orders rows by doc_id (nulls last), then text; at is the place among the row's lines.
+    """
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"), F.col("row"))
+    parts = []
+    for size in range(1, width + 1):
+        at = lambda k: F.col("lines")[F.col("at") + k]
+        starts = rows.filter(F.size("lines") >= size).select(place.alias("place"), "lines", F.explode(F.sequence(F.lit(0), F.size("lines") - size)).alias("at"))
+        if size < width:
+            starts = starts.filter(sum((at(k)["w"] for k in range(size)), F.lit(0)) >= words)
+        hashes = [at(k)["h"] for k in range(size)]
+        mark = F.least(*hashes) if size > 1 else hashes[0]
+        parts.append(starts.select("place", "at", F.lit(size).alias("size"), mark.alias("mark"), F.xxhash64(F.lit(size), *hashes).alias("run"), F.xxhash64(F.lit(size), *[at(k)["c"] for k in range(size)]).alias("check")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """df with a salt by row and place, so that a common key's rows lie in many tasks."""
+    return df.withColumn("salt", F.pmod(F.xxhash64("place", "at"), F.lit(SALTS)).cast("int"))
+
+
+def to_all(df: DataFrame) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def repeated_runs(rows: DataFrame, width: int = WIDTH, words: int = WORDS) -> DataFrame:
+    """(row, first, last, of_row, of_first): runs of lines, as long as they go, that match an earlier place."""
+    windows = saved(windows_of(rows, width, words), "line-windows")
+    here = F.struct("place", "at")
+    marks = windows.groupBy("mark", "size").agg(F.min(here).alias("low"), F.max(here).alias("high")).filter(F.col("low") != F.col("high")).select("mark", "size")
+    shared = dealt(windows).join(to_all(marks), ["mark", "size", "salt"], "left_semi")
+    shared = saved(shared.select("place", "at", "size", "run", "check"), "shared-windows")
+    first = shared.groupBy("run", "check").agg(F.min(here).alias("first"), F.max(here).alias("last")).filter(F.col("first") != F.col("last")).drop("last")
+    matches = dealt(shared).join(to_all(first), ["run", "check", "salt"]).filter(here > F.col("first"))
+    matches = matches.select(F.col("place.row").alias("row"), "at", "size", F.col("first.place.row").alias("of_row"), F.col("first.at").alias("of_at"))
+    # matches of a row with the same earlier row, at the same distance, that touch or overlap are one run
+    along = Window.partitionBy("row", "of_row", "shift").orderBy("at", "size")
+    reach = F.max(F.col("at") + F.col("size")).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = matches.withColumn("shift", F.col("of_at") - F.col("at")).withColumn("new", (F.coalesce(reach, F.lit(-1)) < F.col("at")).cast("int"))
+    runs = fresh.withColumn("nth", F.sum("new").over(along)).groupBy("row", "of_row", "shift", "nth")
+    runs = runs.agg(F.min("at").alias("first"), (F.max(F.col("at") + F.col("size")) - 1).alias("last"))
+    return runs.select("row", "first", "last", "of_row", (F.col("first") + F.col("shift")).alias("of_first"))
+
+
+def slices_without(items: Column, gone: Column) -> Column:
+    """items without the places in the ascending list gone: the stretches between them, put together."""
+    starts = F.concat(F.array(F.lit(0)), F.transform(gone, lambda g: g + 1))
+    ends = F.concat(gone, F.array(F.size(items)))
+    return F.flatten(F.transform(F.filter(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda z: z["b"] > z["a"]), lambda z: F.slice(items, z["a"] + 1, z["b"] - z["a"])))
 
 
-def dedup_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def dedup_lines(docs: DataFrame, width: int = WIDTH, words: int = WORDS) -> DataFrame:
     """(doc_id, text) as doc_id, n_lines, n_dropped, dropped, text: text without the lines of later repeated runs.
 
-    Only lines with a word count in runs; blank lines between them stay. dropped lists the places of deleted
-    lines among the lines with words. A null text stays null, has no lines and loses none; rows without doc_id are
-    kept as they are; rows that share a doc_id are one document.
+    A run is one or two lines of at least so many words, or at least width lines; it is later if the same lines
+    stand at a smaller doc_id (nulls last, equal ids by text) or further up in the same text. Only lines with a word
+    count; blank lines between them stay. dropped lists the places of deleted lines among the lines with words. A
+    null text stays null, has no lines and loses none; every row is judged by itself, also where its doc_id is null
+    or shared.
     """
-    drops = repeated_windows(docs, width).select("doc_id", F.explode(F.sequence(F.col("at"), F.col("at") + width - 1)).alias("at"))
-    drops = drops.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("gone"))
-    rows = docs.select("doc_id", "text").join(drops, "doc_id", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
-    lines = F.split("text", "\n")
-    worded = F.transform(lines, lambda x: (F.btrim(x, F.lit(" \t\r\x0b\x0c")) != "").cast("int"))
-    # (place among lines with words) of each line, by a running count
-    places = F.aggregate(worded, F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("p")), lambda a, x: F.struct((a["n"] + x).alias("n"), F.concat(a["p"], F.array(F.when(x == 1, a["n"]).otherwise(F.lit(-1)))).alias("p")))["p"]
-    kept = F.transform(F.filter(F.arrays_zip(lines.alias("x"), places.alias("p")), lambda z: ~F.array_contains(F.col("gone"), z["p"])), lambda z: z["x"])
-    n = F.coalesce(F.size(F.filter(lines, lambda x: F.btrim(x, F.lit(" \t\r\x0b\x0c")) != "")), F.lit(0))
-    return rows.select(
-        "doc_id", F.when(F.col("text").isNull(), F.lit(0)).otherwise(n).cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_dropped"),
-        F.array_join(F.col("gone").cast("array<string>"), ",").alias("dropped"), F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
+    rows = saved(hashed_lines(docs), "lines")
+    gone = repeated_runs(rows.select("row", "doc_id", "text", "lines"), width, words).select("row", F.explode(F.sequence("first", "last")).alias("at")).distinct()
+    gone = gone.groupBy("row").agg(F.sort_array(F.collect_set("at")).alias("gone"))
+    out = rows.join(gone, "row", "left")
+    none = F.array().cast("array<int>")
+    raw = F.transform("gone", lambda g: F.col("lines")[g]["i"])
+    left = F.array_join(slices_without(F.split("text", "\n"), raw), "\n")
+    return out.select(
+        "doc_id", F.size("lines").cast("long").alias("n_lines"), F.size(F.coalesce("gone", none)).cast("long").alias("n_dropped"),
+        F.array_join(F.coalesce("gone", none).cast("array<string>"), ",").alias("dropped"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text"),
     )
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """All documents without later repeated runs of lines: three lines, or fewer of twelve words together."""
     out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_lines", "n_dropped", "dropped", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars_left"))
 
 
 OP4_SQL = r"""
 WITH l AS (
-  SELECT doc_id, i, line, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) <> '' AS worded
+  SELECT doc_id, i, line, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS core
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
 ), p AS (
-  SELECT *, sum(worded::INT) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos FROM l
+  SELECT *, core <> '' AS worded, sum((core <> '')::INT) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, len(regexp_extract_all(core, '[^\x20\x09-\x0D]+')) AS w FROM l
 ), n AS (
-  SELECT doc_id, pos, line, lead(line, 1) OVER o AS l1, lead(line, 2) OVER o AS l2 FROM p WHERE worded WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
+  SELECT doc_id, pos, line, w, lead(line, 1) OVER o AS l1, lead(w, 1) OVER o AS w1, lead(line, 2) OVER o AS l2 FROM p WHERE worded WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
 ), w AS (
-  SELECT doc_id, pos, row_number() OVER (PARTITION BY line, l1, l2 ORDER BY doc_id, pos) AS rn FROM n WHERE l2 IS NOT NULL
+  SELECT doc_id, pos, 1 AS size, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS rn FROM n WHERE w >= 12
+  UNION ALL SELECT doc_id, pos, 2, row_number() OVER (PARTITION BY line, l1 ORDER BY doc_id, pos) FROM n WHERE l1 IS NOT NULL AND w + w1 >= 12
+  UNION ALL SELECT doc_id, pos, 3, row_number() OVER (PARTITION BY line, l1, l2 ORDER BY doc_id, pos) FROM n WHERE l2 IS NOT NULL
 ), g AS (
-  SELECT DISTINCT doc_id, pos + k AS pos FROM w, (SELECT unnest([0, 1, 2]) AS k) WHERE rn > 1
+  SELECT DISTINCT doc_id, pos + k AS pos FROM w, (SELECT unnest([0, 1, 2]) AS k) WHERE rn > 1 AND k < size
 ), r AS (
   SELECT p.doc_id, sum(worded::INT)::BIGINT AS n_lines, count(g.pos)::BIGINT AS n_dropped,
          coalesce(string_agg(g.pos::BIGINT::VARCHAR, ',' ORDER BY g.pos) FILTER (WHERE g.pos IS NOT NULL), '') AS dropped,
