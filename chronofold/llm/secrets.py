@@ -7,7 +7,7 @@ and versions that hold the blob.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved
@@ -22,32 +22,39 @@ BASE_RULES = [
 MORE_RULES = [("private", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 1, 0)]
 RULES = {1: BASE_RULES, 2: BASE_RULES + MORE_RULES}
 SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
+PIECES = "array<struct<rank:int,n:int,gap:int,long:int,fits:boolean>>"
 
 
-def spans_of(text: Column, rank: int, kind: str, pattern: str, least: int, group: int) -> Column:
-    """Spans (code points, end exclusive) of a rule's leftmost non-overlapping matches, too short ones dropped.
+def pieces_of(text: Column, rank: int, kind: str, pattern: str, least: int, group: int) -> Column:
+    """The text as a rule's leftmost non-overlapping matches cut it: (rank, n, gap, long, fits) of each match and what stands before it.
 
-    The pieces between the matches and the matches themselves give the positions.
+    fits: the match is long enough. The last piece has no match.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     sized = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    zipped = F.arrays_zip(F.transform(F.split(text, pattern, -1), lambda p: F.length(p)).alias("gap"), F.transform(found, lambda m: F.length(m)).alias("long"), F.transform(sized, lambda g: F.length(g)).alias("of"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("s"))
+    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("long"), sized.alias("of"))
 
-    def step(a: Column, z: Column) -> Column:
-        begin = a["at"] + z["gap"]
-        end = begin + F.coalesce(z["long"], F.lit(0))
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(F.coalesce(z["of"], F.lit(0)) >= least, F.concat(a["s"], F.array(span))).otherwise(a["s"]).alias("s"))
+    def piece(z: Column, n: Column) -> Column:
+        fits = F.coalesce(F.length(z["of"]), F.lit(0)) >= least
+        return F.struct(F.lit(rank).alias("rank"), n.alias("n"), F.length(z["gap"]).alias("gap"), F.coalesce(F.length(z["long"]), F.lit(0)).alias("long"), fits.alias("fits"))
 
     # most texts hold no match: one search decides
-    return F.when(text.rlike(pattern), F.aggregate(zipped, start, step)["s"]).otherwise(F.array().cast(SPANS))
+    return F.when(text.rlike(pattern), F.transform(zipped, piece)).otherwise(F.array().cast(PIECES))
 
 
 def scan(blobs: DataFrame, rules: list) -> DataFrame:
-    """(blob, text) as (blob, spans): sorted by start, then by the rule's place in the list."""
-    found = blobs.select("blob", *[spans_of(F.col("text"), i, *rule).alias(f"s{i}") for i, rule in enumerate(rules)])
-    return found.select("blob", F.sort_array(F.concat(*[F.col(f"s{i}") for i in range(len(rules))])).alias("spans"))
+    """(blob, text) as (blob, spans), blobs with spans alone: sorted by start, then by the rule's place in the list.
+
+    A span is a match that fits, in code points, its end exclusive: the lengths before it add up to its start. Rows
+    that repeat a blob count once.
+    """
+    pieces = blobs.select("blob", F.explode(F.concat(*[pieces_of(F.col("text"), i, *rule) for i, rule in enumerate(rules)])).alias("z"))
+    pieces = pieces.select("blob", "z.*").dropDuplicates(["blob", "rank", "n"])
+    so_far = Window.partitionBy("blob", "rank").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = pieces.withColumn("end", F.sum(F.col("gap") + F.col("long")).over(so_far).cast("int")).filter("fits")
+    kind = F.element_at(F.array(*[F.lit(kind) for kind, *_ in rules]), F.col("rank") + 1)
+    span = F.struct((F.col("end") - F.col("long")).alias("start"), "rank", kind.alias("kind"), "end")
+    return ends.groupBy("blob").agg(F.sort_array(F.collect_list(span)).alias("spans"))
 
 
 def scan_versions(versions: DataFrame, rule_version: int, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -61,13 +68,12 @@ def scan_versions(versions: DataFrame, rule_version: int, ledger: DataFrame | No
     unseen = named.groupBy("blob").agg(F.min(F.struct("path", "version")).alias("at"))
     if ledger is not None:
         unseen = unseen.join(ledger.filter(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
-    unseen = unseen.select("blob", F.col("at.path").alias("_path"), F.col("at.version").alias("_version"))
+    unseen = saved(unseen.select("blob", F.col("at.path").alias("_path"), F.col("at.version").alias("_version")), "unseen")
     sources = versions.select("path", "version", text.alias("text"))
     same = sources["path"].eqNullSafe(F.col("_path")) & sources["version"].eqNullSafe(F.col("_version"))
-    blobs = sources.join(saved(unseen, "unseen"), same).filter(F.sha2("text", 256) == F.col("blob")).select("blob", "text")
-    # rows repeated as a whole give the same spans
-    once = scan(blobs, RULES[rule_version]).groupBy("blob").agg(F.first("spans").alias("spans"))
-    scanned = once.select("blob", F.lit(rule_version).alias("rule_version"), "spans")
+    blobs = sources.join(unseen, same).filter(F.sha2("text", 256) == F.col("blob")).select("blob", "text")
+    found = unseen.select("blob").join(scan(blobs, RULES[rule_version]), "blob", "left")
+    scanned = found.select("blob", F.lit(rule_version).alias("rule_version"), F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
     grown = saved(scanned, "ledger") if ledger is None else ledger.unionByName(saved(scanned, "ledger"))
     fitting = grown.filter((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select("blob", "spans")
     findings = named.join(fitting, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
@@ -88,3 +94,26 @@ def op7_secret_scan(spark, sf_dir: str) -> DataFrame:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     return findings.select(F.col("path").alias("doc_id"), *[count(kind) for kind, *_ in BASE_RULES], F.sha2(listed(base_spans), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+OP7_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text FROM documents
+), p AS (
+  SELECT doc_id, 0 AS rank, 'assign' AS kind, 6 AS least, string_split_regex(text, ASSIGN) AS gaps, regexp_extract_all(text, ASSIGN) AS found, regexp_extract_all(text, ASSIGN, 2) AS sized FROM t
+  UNION ALL SELECT doc_id, 1, 'access', 20, string_split_regex(text, 'AKIA[A-Z0-9]+'), regexp_extract_all(text, 'AKIA[A-Z0-9]+'), regexp_extract_all(text, 'AKIA[A-Z0-9]+') FROM t
+  UNION ALL SELECT doc_id, 2, 'hex', 24, string_split_regex(text, '[0-9a-f]+'), regexp_extract_all(text, '[0-9a-f]+'), regexp_extract_all(text, '[0-9a-f]+') FROM t
+  UNION ALL SELECT doc_id, 3, 'private', 1, string_split_regex(text, PRIVATE_RULE), regexp_extract_all(text, PRIVATE_RULE), regexp_extract_all(text, PRIVATE_RULE) FROM t
+), m AS (
+  SELECT doc_id, rank, kind, least, n, length(gaps[n]) AS gap, length(found[n]) AS long, length(sized[n]) AS of FROM (SELECT *, unnest(range(1, len(found) + 1)) AS n FROM p)
+), e AS (
+  SELECT *, sum(gap + long) OVER (PARTITION BY doc_id, rank ORDER BY n) AS fin FROM m
+), s AS (
+  SELECT doc_id, rank, fin - long AS start, kind || ':' || (fin - long)::BIGINT::VARCHAR || ':' || fin::BIGINT::VARCHAR AS span FROM e WHERE of >= least
+), g AS (
+  SELECT doc_id, count(*) FILTER (WHERE rank = 0) AS a, count(*) FILTER (WHERE rank = 1) AS k, count(*) FILTER (WHERE rank = 2) AS h,
+         string_agg(span, ',' ORDER BY start, rank) FILTER (WHERE rank < 3) AS base, string_agg(span, ',' ORDER BY start, rank) AS spans FROM s GROUP BY doc_id
+)
+SELECT t.doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(k, 0)::BIGINT AS n_access, coalesce(h, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN g ON t.doc_id = g.doc_id
+""".replace("ASSIGN", r"""'(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'""").replace("PRIVATE_RULE", "'-----BEGIN [A-Z ]*PRIVATE KEY-----'")
