@@ -6,16 +6,16 @@ occurred before (by doc_id, then place).
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes
+from .common import WordHashes, mixed
 
 #: A run goes on until it has so many words.
 WORDS = 16
@@ -23,57 +23,92 @@ WORDS = 16
 #: within it. Copies are cut alike but for SPAN - 1 words at their ends, and no piece is longer than SPAN. So a stretch
 #: of over 50 words (same words, stops and line ends) loses 17 at most at either end, and the rest holds a common run.
 LONG, SPAN = 16, 9
-END = re.compile(rb"(?<=[.!?])[\x20\x09-\x0D]+|\n")
-
-
-def cuts_of(h: np.ndarray) -> set[int]:
-    """The places of the smallest hash, the last of equals, of every SPAN hashes in a row."""
-    windows = np.lib.stride_tricks.sliding_window_view(h[::-1], SPAN)
-    return set((len(h) - 1 - np.arange(len(windows)) - windows.argmin(axis=1)).tolist())
-
-
-def sentences_of(raw: bytes, hashes: WordHashes) -> list[tuple[int, int, int]]:
-    """(begin, end, number of words) of each sentence with a word, in bytes; together they hold every word."""
-    out, at, n = [], 0, len(raw)
-    ends = [(m.start(), m.end()) for m in END.finditer(raw)] + [(n, n)]
-    for stop, after in ends:
-        words = raw[at:stop].split()
-        if len(words) <= LONG:
-            if words:
-                out.append((at, stop, len(words)))
-        else:
-            place, count, begin, cuts = at, 0, at, cuts_of(hashes(words))
-            for i, w in enumerate(words):
-                place = raw.index(w, place) + len(w)
-                count += 1
-                if i in cuts:
-                    out.append((begin, place, count))
-                    begin, count = place, 0
-            if count:
-                out.append((begin, stop, count))
-        at = after
-    return out
-
-
-def runs_of(raw: bytes, hashes: WordHashes) -> list[tuple[int, int, int, int]]:
-    """(first, last, hash, check) of the runs: from each sentence on, the shortest of enough words."""
-    parts = sentences_of(raw, hashes)
-    if sum(n for *_, n in parts) < WORDS:
-        return []
-    import xxhash
-
-    each = [b" ".join(raw[a:b].split()) for a, b, _ in parts]
-    out, last, words = [], 0, 0
-    for first in range(len(parts)):
-        while last < len(parts) and words < WORDS:
-            words += parts[last][2]
-            last += 1
-        if words < WORDS:
-            break
-        h = xxhash.xxh3_128_intdigest(b"\n".join(each[first:last]))
-        out.append((first, last - 1, (h >> 64) - (1 << 63), (h & 0xFFFF) - (1 << 15)))
-        words -= parts[first][2]
-    return out
+#: Factor of the runs' polynomial hashes, and its inverse modulo 2**64.
+FACTOR = 0x9E3779B97F4A7C15
+INVERSE = pow(FACTOR, -1, 1 << 64)
+
+
+class Powers:
+    """Powers of FACTOR and INVERSE modulo 2**64, as many as were asked for so far."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            steps = np.full((2, 2 * n), 1, np.uint64)
+            steps[0, 1:], steps[1, 1:] = FACTOR, INVERSE
+            self.up, self.down = np.cumprod(steps, axis=1, dtype=np.uint64)
+        return self.up[:n], self.down[:n]
+
+
+POWERS = Powers()
+
+
+def sentences_of(raw: bytes, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end) in bytes and (first, last) word of each piece, and the words' hashes; together they hold every word.
+
+    A sentence ends after a word that ends in a stop, or before a line end.
+    """
+    b = np.frombuffer(raw, np.uint8)
+    blank = (b == 32) | ((b >= 9) & (b <= 13))
+    edges = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True]))))
+    starts, ends = edges[0::2], edges[1::2]
+    n = len(starts)
+    if not n:
+        none = np.empty((0, 2), np.int64)
+        return none, none, np.empty(0, np.uint64)
+    final = b[ends - 1]
+    stops = ((final == 46) | (final == 33) | (final == 63)) & (ends < len(raw))
+    line_ends = np.flatnonzero(b == 10)
+    after = np.append(starts[1:], len(raw))
+    at = np.searchsorted(line_ends, ends)
+    next_line = np.append(line_ends, len(raw))[at]
+    breaks = next_line < after
+    last = stops | breaks
+    last[-1] = True
+    first = np.append(True, last[:-1])
+    # where a sentence begins: at its first word after a stop, else behind the last line end before it
+    before = np.append(0, line_ends + 1)[np.searchsorted(line_ends, starts)]
+    begin = np.where(np.append(False, stops[:-1]), starts, before)
+    stop = np.where(stops, ends, np.where(breaks, next_line, len(raw)))
+    h = hashes(raw.split())
+    sentence = np.cumsum(first) - 1
+    size = np.diff(np.append(np.flatnonzero(first), n))
+    cut = last
+    if n >= SPAN and size.max() > LONG:
+        long = (size > LONG)[sentence]
+        windows = np.lib.stride_tricks.as_strided(h[::-1], (n - SPAN + 1, SPAN), (-8, -8))
+        low = n - SPAN - np.arange(n - SPAN + 1)  # a window's first word; the last of equal hashes wins
+        place = low + SPAN - 1 - windows.argmin(axis=1)
+        cut = last.copy()
+        cut[place[(sentence[low] == sentence[low + SPAN - 1]) & long[low]]] = True
+    ends_at = np.flatnonzero(cut)
+    firsts = np.append(0, ends_at[:-1] + 1)
+    begins = np.where(first[firsts], begin[firsts], ends[firsts - 1])
+    return np.stack([begins, np.where(last[ends_at], stop[ends_at], ends[ends_at])], axis=1), np.stack([firsts, ends_at], axis=1), h
+
+
+def runs_of(raw: bytes, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last, hash, check) of the runs: from each piece on, the shortest of enough words.
+
+    Hashes are polynomials of the words' hashes, so white space between words doesn't count.
+    """
+    _, words, h = sentences_of(raw, hashes)
+    if len(h) < WORDS:
+        return (*[np.empty(0, np.int64)] * 3, np.empty(0, np.int16))
+    upto = words[:, 1] + 1
+    last = np.searchsorted(upto, words[:, 0] + WORDS)
+    first = np.flatnonzero(last < len(upto))
+    last = last[first]
+    up, down = POWERS(len(h))
+    a, z = words[first, 0], upto[last]
+    with np.errstate(over="ignore"):
+        lanes = []
+        for x in (h, mixed(h)):
+            sums = np.append(np.uint64(0), np.cumsum(x * up, dtype=np.uint64))
+            lanes.append(mixed((sums[z] - sums[a]) * down[a] + (z - a).astype(np.uint64)))
+    return first, last, lanes[0].view(np.int64), (lanes[1] >> np.uint64(48)).astype(np.uint16).view(np.int16)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -90,17 +125,24 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 ids, texts = part.column(0).to_pylist(), part.column(1)
-                seen: dict[tuple[int, int], tuple] = {}
-                rows = []
-                for i in sorted(range(len(ids)), key=ids.__getitem__):
-                    for first, last, run, check in runs_of(texts[i].as_py() or b"", hashes):
-                        place = (ids[i], first)
-                        before = seen.setdefault((run, check), place)
-                        if before is place or before != place:
-                            rows.append((ids[i], first, last, run, check, before is not place))
-                if rows:
-                    kinds = [part.column(0).type, pa.int32(), pa.int32(), pa.int64(), pa.int16(), pa.bool_()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=schema.names)
+                order = sorted(range(len(ids)), key=ids.__getitem__)
+                found = [runs_of(texts[i].as_py() or b"", hashes) for i in order]
+                first, last, run, check = (np.concatenate(c) for c in zip(*found, strict=True))
+                if not len(first):
+                    continue
+                lengths = [len(f[0]) for f in found]
+                row = np.repeat(order, lengths)
+                # rows that share an id share their places
+                new = np.array([k == 0 or ids[i] != ids[order[k - 1]] for k, i in enumerate(order)])
+                place = (np.repeat(np.cumsum(new), lengths) << 32) + first
+                by = np.lexsort((place, check, run))
+                same = np.append(False, (run[by][1:] == run[by][:-1]) & (check[by][1:] == check[by][:-1]))
+                head = np.maximum.accumulate(np.where(same, 0, np.arange(len(by))))
+                sent = ~same | (place[by] != place[by][head])
+                keep, later = by[sent], same[sent]
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0).take(pa.array(row[keep])), pa.array(first[keep].astype(np.int32)), pa.array(last[keep].astype(np.int32)), pa.array(run[keep]), pa.array(check[keep]), pa.array(later),
+                ], names=schema.names)
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType()), T.StructField("run", T.LongType()), T.StructField("check", T.ShortType()), T.StructField("later", T.BooleanType())])
     runs = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(compare, schema)
@@ -111,11 +153,24 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return later.groupBy("doc_id").agg(F.collect_set(span).alias("spans"))
 
 
+def without_pieces(raw: bytes, spans: list[int], hashes: WordHashes) -> tuple[bytes, list[int]]:
+    """The text without the pieces of spans, and their numbers."""
+    pieces, lost = sentences_of(raw, hashes)[0], set()
+    for s in spans:
+        lost.update(range(s >> 32, (s & 0xFFFFFFFF) + 1))
+    gone, kept, at = sorted(lost), [], 0
+    for a, z in pieces[gone].tolist():
+        kept.append(raw[at:a])
+        at = z
+    return b"".join([*kept, raw[at:]]), gone
+
+
 def dedup_sentences(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) as doc_id, n_sentences, n_dropped, dropped, text, without the sentences of repeated runs.
+    """(doc_id, text) as doc_id, n_dropped, dropped, text, without the sentences of repeated runs.
 
-    A null text stays null and has no sentences; a text of fewer than sixteen words loses none; rows without doc_id are kept as they are; rows that share a doc_id are one document. Runs are equal if
-    their sentences' words are; the white space between words does not count.
+    dropped lists the numbers of the pieces that went. A null text stays null and loses none; so does a text of fewer
+    than sixteen words. Rows without doc_id are kept as they are; rows that share a doc_id are one document. Runs are
+    equal if their words are; the white space between words does not count.
     """
     rows = docs.select("doc_id", "text").join(repeated_spans(docs.select("doc_id", "text")), "doc_id", "left")
 
@@ -124,28 +179,19 @@ def dedup_sentences(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                counts, dropped, texts = [], [], []
-                for t, spans in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    parts = sentences_of(t or b"", hashes)
-                    gone = sorted({i for s in spans or () for i in range(s >> 32, (s & 0xFFFFFFFF) + 1)})
-                    counts.append(len(parts))
-                    dropped.append(gone)
-                    if gone:
-                        lost, kept, at = set(gone), [], 0
-                        for i, (a, b, _) in enumerate(parts):
-                            if i in lost:
-                                kept.append(t[at:a])
-                                at = b
-                        kept.append(t[at:])
-                        t = b"".join(kept)
-                    texts.append(None if t is None else t.decode("utf-8", "replace"))
-                columns = [part.column(0), pa.array(counts, pa.int64()), pa.array([len(g) for g in dropped], pa.int64()), pa.array([",".join(map(str, g)) for g in dropped]), pa.array(texts, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_sentences", "n_dropped", "dropped", "text"])
-
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("n_sentences", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("dropped", T.StringType()), T.StructField("text", T.StringType())])
+                texts, spans = part.column(1), part.column(2)
+                hit = pc.and_(spans.is_valid(), texts.is_valid())
+                some = [without_pieces(t.as_py(), s.as_py(), hashes) for t, s in zip(texts.filter(hit), spans.filter(hit), strict=True)]
+                left = pc.replace_with_mask(texts, hit, pa.array([t for t, _ in some], texts.type))
+                counts = pc.replace_with_mask(pa.array(np.zeros(part.num_rows, np.int64)), hit, pa.array([len(g) for _, g in some], pa.int64()))
+                dropped = pc.replace_with_mask(pa.array([""] * part.num_rows, pa.string()), hit, pa.array([",".join(map(str, g)) for _, g in some], pa.string()))
+                yield pa.RecordBatch.from_arrays([part.column(0), counts, dropped, left.cast(pa.string())], names=["doc_id", "n_dropped", "dropped", "text"])
+
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("n_dropped", T.LongType()), T.StructField("dropped", T.StringType()), T.StructField("text", T.StringType())])
     return rows.select("doc_id", F.col("text").cast("binary").alias("text"), "spans").mapInArrow(cut, schema)
 
 
 def op8_sentence_spans(spark, sf_dir: str) -> DataFrame:
+    """All documents without the sentences of runs that an earlier document, or an earlier place of the same, holds."""
     out = dedup_sentences(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_sentences", "n_dropped", "dropped", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars_left"))
+    return out.select("doc_id", "n_dropped", "dropped", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars_left"))
