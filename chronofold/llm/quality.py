@@ -104,14 +104,15 @@ def quality_cascade(docs: DataFrame, rules: dict[str, Callable[[Text], bool]] |
     """(doc_id, text) with kept, rejected_by, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed.
 
     rejected_by names all rules but the first rejecting one away: it is the cascade's verdict, and so depends on
-    the measured order; kept does not. A null text is empty and fails few_words. The sample that orders the rules
+    the measured order; kept does not. Rows without doc_id, or that share one, are judged like others. A null text is empty and fails few_words. The sample that orders the rules
     is the rows with the smallest id hashes, a bounded number; the rules themselves see every row.
     """
     rules = RULES if rules is None else rules
-    place = F.xxhash64(F.col("doc_id"), F.lit(seed))
-    least = [r[0] for r in docs.select(place.alias("h")).distinct().orderBy("h").limit(sample).collect()]
-    drawn = docs.filter(place.isin(least)).select(F.col("text").cast("binary")).limit(sample).collect() if least else []
-    order = cascade_order(measure_rules([r[0] and bytes(r[0]) for r in drawn], rules))
+    hashed = docs.select(F.xxhash64(F.col("doc_id"), F.lit(seed)).alias("h"), F.col("text").cast("binary").alias("text"))
+    # the smallest of each partition first, then of those: no shuffle of ids or texts
+    least = [r["h"] for r in hashed.select("h").orderBy("h").limit(sample).collect()]
+    drawn = [r["text"] for r in hashed.filter(F.col("h").isin(sorted(set(least)))).select("text").limit(sample).collect()] if least else []
+    order = cascade_order(measure_rules([raw and bytes(raw) for raw in drawn], rules))
     chain = [(name, rules[name]) for name in order]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,5 +134,31 @@ def quality_cascade(docs: DataFrame, rules: dict[str, Callable[[Text], bool]] |
 
 
 def op9_quality_cascade(spark, sf_dir: str) -> DataFrame:
+    """The base measures and the verdict of all rules on every document."""
     out = quality_cascade(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), g AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS run FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d WHERE len(ws) >= 5)
+), q AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, run) AS n FROM g
+), r AS (
+  SELECT doc_id, count(DISTINCT pos)::BIGINT AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 5)) AS pos FROM q WHERE n > 1) GROUP BY doc_id
+), l AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), m AS (
+  SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
+         strlen(text) - length(regexp_replace(text, '[A-Za-z]|[^\x00-\x7F]', '', 'g')) AS n_letters, strlen(text) - (length(text) - length(replace(text, ' ', ''))) AS n_unspaced
+  FROM d LEFT JOIN r ON d.doc_id = r.doc_id LEFT JOIN l ON d.doc_id = l.doc_id
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 10 * n_symbols > 3 * n_words OR (n_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines)
+            OR (n_words > 0 AND NOT (2 * n_words <= word_chars AND word_chars <= 20 * n_words)) OR 2 * n_letters < n_unspaced) AS kept
+FROM m
+"""
