@@ -90,6 +90,70 @@ def quality(text):
     return n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(hit), n < 10 or 100 * len(hit) > 20 * n
 
 
+def sentence_pieces(text, span=9, long=16):
+    """Lists of words: sentences, long ones cut after the smallest word hash (the last of equals) of every span words."""
+    import xxhash
+
+    out = []
+    for sentence in re.split(r"(?<=[.!?])[\x20\x09-\x0D]+|\n", text or ""):
+        words = WORD.findall(sentence)
+        if len(words) <= long:
+            out += [words] if words else []
+            continue
+        h = [xxhash.xxh3_64_intdigest(w.encode()) for w in words]
+        cuts = set()
+        for i in range(len(h) - span + 1):
+            cuts.add(max(range(i, i + span), key=lambda k: (-h[k], k)))
+        piece = []
+        for i, w in enumerate(words):
+            piece.append(w)
+            if i in cuts or i == len(words) - 1:
+                out.append(piece)
+                piece = []
+    return out
+
+
+def sentence_spans(docs, least=16):
+    """{doc: places of pieces that go}: those of every run (the shortest of enough words from a piece on) that occurred before."""
+    seen, gone = set(), {}
+    for d, text in sorted(docs):
+        pieces, lost = sentence_pieces(text), set()
+        for i in range(len(pieces)):
+            n, j = 0, i
+            while j < len(pieces) and n < least:
+                n += len(pieces[j])
+                j += 1
+            if n < least:
+                break
+            run = tuple(w for p in pieces[i:j] for w in p)
+            if run in seen:
+                lost.update(range(i, j))
+            seen.add(run)
+        if lost:
+            gone[d] = sorted(lost)
+    return gone
+
+
+def line_runs(docs, width=3, least=12):
+    """[(places of deleted lines, text left)] of each (order, text): every repeated window that counts, by plain comparison."""
+    seen, out = set(), []
+    for _, text in docs:
+        raw = (text or "").split("\n")
+        at = [i for i, x in enumerate(raw) if x.strip(" \t\r\x0b\x0c")]
+        lost = set()
+        for p in range(len(at)):
+            for size in range(1, width + 1):
+                lines = tuple(raw[i] for i in at[p : p + size])
+                if len(lines) < size or size < width and sum(len(WORD.findall(x)) for x in lines) < least:
+                    continue
+                if lines in seen:
+                    lost.update(range(p, p + size))
+                seen.add(lines)
+        gone = {at[p] for p in lost}
+        out.append((sorted(lost), text if not lost else "\n".join(x for i, x in enumerate(raw) if i not in gone)))
+    return out
+
+
 def tokens(docs, path, end=2):
     from tokenizers import Tokenizer
 

@@ -16,7 +16,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
 from chronofold.llm import decontaminate as dc  # noqa: E402
-from chronofold.llm import line_dedup, mixing, near_dup, quality, queries, secrets, sharding, substring_dedup, tokens, toxicity  # noqa: E402
+from chronofold.llm import common, line_dedup, mixing, near_dup, quality, queries, secrets, sharding, substring_dedup, tokens, toxicity  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, gone string"
@@ -76,11 +76,12 @@ def test_decontamination_equals_brute_force(spark, table, docs):
     assert dc.decontaminate(docs, few_items.limit(0)).filter("n_hit > 0").count() == 0
 
 
-def test_decontamination_with_one_shuffle_partition(spark, docs):
+@pytest.mark.parametrize("n", ["1", "11"])
+def test_decontamination_with_other_shuffle_partitions(spark, docs, n):
     items = [(1, "the third line ends it with a few more words")]
     named, key = docs.filter("doc_id is not null"), "spark.sql.shuffle.partitions"
     before = spark.conf.get(key)
-    spark.conf.set(key, "1")
+    spark.conf.set(key, n)
     try:
         found = dc.decontaminate(named, spark.createDataFrame(items, "item_id long, text string"))
         assert rows_of(found, "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == brute.decontaminate(plain(named), items)
@@ -88,6 +89,24 @@ def test_decontamination_with_one_shuffle_partition(spark, docs):
         spark.conf.set(key, before)
 
 
+def test_decontamination_judges_every_row_by_itself(spark, monkeypatch):
+    """Null and shared ids, texts that repeat their terms, and joins that shuffle because nothing is small enough."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    two = " ".join("ab"[i % 2] for i in range(20_000))
+    rows = [(None, "x y z the end"), (None, "nothing here"), (7, "say x y z"), (7, "other"), (8, two), (9, "a b a b b a"), (9, "a b a b b a")]
+    items = [(1, "X y Z"), (2, "a b a b a b a b a b a b a"), (3, "a b b a"), (3, "a b b a"), (None, "")]
+    out = dc.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = [(d, *brute.decontaminate([(0, t)], items)[0]) for d, t in rows]
+    got = [(r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in out.collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_proximity_matches(spark):
+    items = spark.createDataFrame([(1, "red green blue"), (2, "red green violet")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "red one two green three blue violet"), (2, "red " + "w " * 30 + "green blue"), (3, "red green blue")], "doc_id long, text string")
+    assert rows_of(dc.decontaminate(docs, items), "n_items", "n_near_items") == {1: (0, 2), 2: (0, 0), 3: (1, 1)}
+
+
 def test_tokens_round_trip(spark, table, docs):
     path = tokens.default_tokenizer()
     assert rows_of(queries.QUERIES["op3_token_output"](spark, SF), "start", "n_tokens", "ids_crc32") == brute.tokens(plain(table), path)
@@ -97,6 +116,36 @@ def test_tokens_round_trip(spark, table, docs):
     assert coder.encode(pa.array([], pa.string())).to_pylist() == []
 
 
+def test_tokens_of_repeated_ids_stand_where_start_says(spark, tmp_path):
+    rows = [(7, "one two three four"), (7, "x"), (3, None), (7, "a longer text with more words in it"), (None, "first"), (7, "x"), (None, ""), (9, "the end")]
+    path = f"{tmp_path}/tokens"
+    tokens.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path, tokens.default_tokenizer(), 2)
+    files = spark.read.parquet(path).orderBy("bucket", "place").collect()
+    flat = [i for r in files for i in r["tokens"]]
+    out = tokens.token_digests(spark, path, files and spark.read.parquet(path).schema["doc_id"].dataType).collect()
+    assert [r["doc_id"] for r in files] == [None, None, 3, 7, 7, 7, 7, 9] and len(out) == len(rows)
+    for r in out:
+        ids = flat[r["start"] : r["start"] + r["n_tokens"]]
+        assert zlib.crc32(np.array(ids, "<u4").tobytes()) == r["ids_crc32"] and ids[-1] == 2 and 2 not in ids[:-1]
+    assert [r["doc_id"] for r in tokens.read_tokens(spark, path, 3, 7).collect()].count(7) == 4
+    empty = f"{tmp_path}/empty"
+    tokens.write_tokens(spark.createDataFrame([], "doc_id long, text string"), empty, tokens.default_tokenizer(), 2)
+    assert tokens.token_digests(spark, empty, files and spark.read.parquet(path).schema["doc_id"].dataType).count() == 0
+
+
+def test_token_files_are_encoded_as_said(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    path = f"{tmp_path}/tokens"
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    tokens.write_tokens(spark.createDataFrame([(i, f"text number {i} " * 20) for i in range(300)], "doc_id long, text string"), path, tokens.default_tokenizer(), 2)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    meta = pq.ParquetFile(next(Path(path).glob("part-*"))).metadata.row_group(0)
+    encodings = {meta.column(i).path_in_schema.split(".")[0]: meta.column(i) for i in range(meta.num_columns)}
+    assert "DELTA_BINARY_PACKED" in encodings["doc_id"].encodings and "RLE_DICTIONARY" in encodings["tokens"].encodings
+    assert all(c.has_offset_index for c in encodings.values())
+
+
 def test_line_dedup(docs):
     out = rows_of(line_dedup.dedup_lines(docs.filter("doc_id is not null")), "n_dropped", "text")
     assert out[5] == (0, PASSAGE) and out[6] == (3, "Own words before.\nAnd after.") and out[7] == (3, "")
@@ -104,6 +153,30 @@ def test_line_dedup(docs):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_equals_brute_force(spark):
+    """Short runs that count by their words, blank lines inside runs, null and shared ids, ties, repeats within a text."""
+    rng = np.random.default_rng(9)
+    long = [" ".join(f"l{k}w{i}" for i in range(14)) for k in range(4)]
+    lines = [*long, "short one", "short two", "", "  ", "third short line here", "é ü ñ"]
+    texts = ["\n".join(lines[i] for i in rng.integers(0, len(lines), rng.integers(1, 9))) for _ in range(120)] + [None, "", "\n\n", long[0], long[0]]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, long[1] + "\nown tail"), (None, "own head\n" + long[2])]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute.line_runs(rows[: len(texts)])
+    got = {r["doc_id"]: ([int(x) for x in r["dropped"].split(",") if x], r["text"]) for r in out if r["doc_id"] is not None}
+    assert got == dict(enumerate(want))
+    assert sorted(r["text"] for r in out if r["doc_id"] is None) == ["own head", "own tail"]
+
+
+def test_line_dedup_extends_matches_into_runs(spark):
+    """One run for a stretch of equal lines, however long, and linear work in the lines of a text."""
+    many = "\n".join(f"line number {i} of a very long list" for i in range(30_000))
+    rows = line_dedup.hashed_lines(spark.createDataFrame([(1, many), (2, "head\n" + many + "\ntail")], "doc_id long, text string"))
+    runs = line_dedup.repeated_runs(common.saved(rows, "rows")).collect()
+    assert [(r["first"], r["last"], r["of_first"]) for r in runs] == [(1, 30_000, 0)]
+    out = rows_of(line_dedup.dedup_lines(spark.createDataFrame([(1, many), (2, "head\n" + many + "\ntail")], "doc_id long, text string")), "n_dropped", "text")
+    assert out[2] == (30_000, "head\ntail") and out[1] == (0, many)
+
+
 def test_sentence_spans(docs):
     out = rows_of(substring_dedup.dedup_sentences(docs.filter("doc_id is not null")), "n_dropped", "text")
     assert out[5][0] == 0 and out[6][0] == 3 and "second line" not in out[6][1] and "And after." in out[6][1] and out[7][0] == 3
@@ -111,16 +184,10 @@ def test_sentence_spans(docs):
     assert substring_dedup.dedup_sentences(docs.limit(0)).count() == 0
 
 
-def test_sentence_spans_equal_brute_force(table):
-    hashes = substring_dedup.WordHashes()
-    first, want = {}, Counter()
-    texts = sorted(plain(table))
-    runs = [(d, a, b, (h, c)) for d, t in texts for a, b, h, c in substring_dedup.runs_of(t.encode(), hashes)]
-    for d, a, _, key in runs:
-        first.setdefault(key, (d, a))
-    gone = {(d, i) for d, a, b, key in runs if first[key] != (d, a) for i in range(a, b + 1)}
-    want.update(d for d, _ in gone)
-    assert {d: n for d, (n,) in rows_of(substring_dedup.dedup_sentences(table), "n_dropped").items() if n} == dict(want)
+def test_sentence_spans_equal_brute_force(table, docs):
+    for some in (table, docs.filter("doc_id is not null").dropDuplicates(["doc_id"])):
+        found = rows_of(substring_dedup.dedup_sentences(some), "dropped")
+        assert {d: [int(x) for x in s.split(",")] for d, (s,) in found.items() if s} == brute.sentence_spans(plain(some))
 
 
 def test_sentence_spans_find_every_passage_of_over_fifty_words():
@@ -136,7 +203,8 @@ def test_sentence_spans_find_every_passage_of_over_fifty_words():
         runs = []
         for _ in range(2):
             before, after = ([f"o{rng.integers(1 << 40)}" + ("." if rng.random() < 0.05 else "") for _ in range(rng.integers(0, 60))] for _ in range(2))
-            runs.append({r[2:] for r in substring_dedup.runs_of(" ".join(before + passage + after).encode(), hashes)})
+            _, _, run, check = substring_dedup.runs_of(" ".join(before + passage + after).encode(), hashes)
+            runs.append(set(zip(run.tolist(), check.tolist())))
         assert runs[0] & runs[1], (i, passage)
 
 
@@ -210,6 +278,31 @@ def test_near_duplicates_in_large_families(spark, monkeypatch):
     assert rows_of(near_dup.near_duplicates(df, 2), "n_shingles", "component_id", "kept") == brute.near_duplicates(rows, 2)
 
 
+def test_near_duplicates_link_rows_without_id(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = [*base[:59], "other"]
+    rows = [(None, " ".join(base)), (None, " ".join(base)), (4, " ".join(near)), (None, "quite another text of its own"), (None, "quite another text of its own"), (5, "alone here")]
+    out = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert sorted(str((r["doc_id"], r["component_id"], r["kept"])) for r in out) == sorted(map(str, [(None, 4, False), (None, 4, False), (4, 4, True), (None, None, True), (None, None, True), (5, 5, True)]))
+
+
+def test_near_duplicates_in_a_family_of_thousands(spark):
+    """Copies of one template, linked and unlinked: every member's group is what pairwise comparison with the template gives."""
+    rng = np.random.default_rng(6)
+    base = [f"b{i}" for i in range(40)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 2500):
+        words = list(base)
+        for at in rng.choice(40, 2 if i % 5 else 20, replace=False):
+            words[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(words)))
+    out = rows_of(near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2), "component_id")
+    sets = [{(a, b) for a, b in zip(w, w[1:])} for w in (t.split() for _, t in rows)]
+    linked = [i for i in range(2500) if 100 * len(sets[0] & sets[i]) >= 80 * len(sets[0] | sets[i])]
+    assert len(linked) > 500 and all(out[i] == (0,) for i in linked)
+    assert all(out[i] == (i,) for i in range(5, 2500, 5) if not any(100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) for j in range(2500) if j != i))
+
+
 def test_b_bit_estimate_is_close(spark):
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 1 << 63, 1000).astype(np.uint64))
@@ -227,6 +320,16 @@ def test_secret_scan_equals_brute_force(spark, table, docs):
         assert got == {d: brute.secrets(t)[4] for d, t in plain(some)}
 
 
+def test_secret_scan_of_many_matches_and_rows_without_path(spark):
+    many = " ".join(f"{i:024x}" for i in range(20_000))
+    rows = [(1, many), (None, "token=abcdefgh"), (None, "token=abcdefgh"), (2, "token=abcdefgh"), (3, None)]
+    versions = spark.createDataFrame(rows, "path long, text string").withColumn("version", F.lit(0))
+    findings, ledger = secrets.scan_versions(versions, 1)
+    got = sorted(str((r["path"], r["s"])) for r in findings.select("path", secrets.listed(F.col("spans")).alias("s")).collect())
+    assert got == sorted(str((d, brute.secrets(t)[4])) for d, t in rows) and ledger.count() == 3
+    assert secrets.scan_versions(versions.limit(0), 1)[0].count() == 0
+
+
 def test_ledger_scans_only_unseen_pairs(spark):
     versions = spark.createDataFrame([("a", 0, "token=abcdefgh"), ("b", 0, "token=abcdefgh"), ("c", 0, None)], "path string, version int, text string")
     first, ledger = secrets.scan_versions(versions, 1)
@@ -265,15 +368,70 @@ def test_mix_meets_targets(spark, docs):
     assert mixing.mix(awkward, [1, 2, 3]).count() == len(ROWS) and mixing.mix(awkward.limit(0), [1]).count() == 0
 
 
+def test_mix_never_exceeds_the_cap_and_leaves_clashing_columns_out(spark, monkeypatch):
+    """Empty documents of a source at its cap, and sources in more than one range."""
+    monkeypatch.setattr(common, "TASK_ROWS", 2)
+    rows = [(i, f"s{i % 7}", 0 if i % 3 == 0 else 5 + (i % 7) * 40, 0.5, "t", 1) for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long, quality double, target string, times int")
+    out = mixing.mix(df, [1, 2, 3]).collect()
+    assert len(out) == 700 and max(r["times"] for r in out) <= 3 and {r["target"] for r in out if r["source"] == "s0"} == {3.0 * sum(r[2] for r in rows if r[1] == "s0")}
+    assert abs(sum({r["source"]: r["target"] for r in out}.values()) - sum(r[2] for r in rows)) < 1e-6
+    nothing = mixing.mix(df.filter("size = 0"), [1, 2, 3]).collect()
+    assert max(r["times"] for r in nothing) <= 3 and {r["target"] for r in nothing} == {0.0}
+
+
+def test_shards_by_whole_texts_and_clashing_names(spark, monkeypatch):
+    """Values that share a long prefix get cells of their own; helper columns give way to the table's."""
+    monkeypatch.setattr(common, "TASK_ROWS", 3)
+    rows = [(i, f"https://one.example/{'abcdefgh'[i % 8]}", i, 1, 2, 3, 4) for i in range(640)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long, _rank int, _at int, _range int, _size int")
+    assert sharding.text_cuts(df, "source", 32) == [f"https://one.example/{c}" for c in "bcdefgh"]
+    out = sharding.hilbert_shards(df, ["source", "size"], 8, ["doc_id"])
+    assert set(df.columns) < set(out.columns) and {r["_at"] for r in out.collect()} == {2}
+    ordered = out.orderBy("hilbert", "doc_id").collect()
+    assert [(r["shard"], r["slot"]) for r in ordered] == [(i // 80, i % 80) for i in range(640)]
+    assert out.select("shard", "source").distinct().count() < 64  # at least some shards are skipped for a source
+
+
+def test_shard_files_are_pruned(spark, tmp_path):
+    df = spark.createDataFrame([(i, "ab"[i % 2], i) for i in range(800)], "doc_id long, source string, size long")
+    path = f"{tmp_path}/shards"
+    sharding.write_shards(sharding.hilbert_shards(df, ["source", "size"], 8, ["doc_id"]), path)
+    import pyarrow.parquet as pq
+
+    ranges = []
+    for f in Path(path).rglob("*.parquet"):
+        group = pq.ParquetFile(f).metadata.row_group(0)
+        ranges += [(s.min, s.max) for i in range(group.num_columns) if group.column(i).path_in_schema == "size" and (s := group.column(i).statistics)]
+    assert len(ranges) == 8 and sum(low <= 5 <= high for low, high in ranges) <= 3
+    assert spark.read.parquet(path).filter("size = 5").count() == 1
+
+
+def test_broadcasts_are_bounded_by_rows_and_bytes(spark, monkeypatch):
+    df = common.saved(spark.range(100).selectExpr("id", "repeat('x', 1000) as t"), "rows")
+    hinted = lambda d: "broadcast" in d._jdf.queryExecution().logical().toString().lower()
+    assert hinted(common.small_enough(df)) and not hinted(common.small_enough(df, 99))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 50_000)
+    assert not hinted(common.small_enough(df))
+
+
+def test_operators_equal_themselves_where_every_join_shuffles(spark, table, monkeypatch):
+    want = {n: sorted(map(str, queries.QUERIES[n](spark, SF).collect())) for n in ("op6_near_duplicates", "op10_mix_sources")}
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    for n, rows in want.items():
+        assert sorted(map(str, queries.QUERIES[n](spark, SF).collect())) == rows
+
+
 def test_sql_agrees(spark):
     import duckdb
 
     for name, sql in queries.ORACLE_SQL.items():
         c = duckdb.connect()
-        c.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+        for t in ("documents", "benchmark"):
+            c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
         want = c.sql(sql)
         got = queries.QUERIES[name](spark, SF).select(*want.columns)
-        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want.fetchall()))
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want.fetchall())), name
 
 
 def test_pipeline_stages_equal_brute_force(spark, table):
@@ -313,3 +471,53 @@ def test_pipeline_keeps_texts_with_null_or_shared_ids(spark, tmp_path):
     assert Counter((r["doc_id"], r["text"]) for r in clean.collect()) == found - Counter([(4, texts[7]), (None, texts[0])])
     mixed = Counter((r["doc_id"], r["text"]) for r in p.mix_sources(spark, clean.filter("text is not null"), SF).collect())
     assert set(mixed) == set(found) - {(4, texts[7]), (None, texts[0]), (None, None)}
+
+
+def test_toxicity_votes_equal_brute_force(spark):
+    """Votes and calibrated scores from cosines worked out in full, and awkward rows."""
+    rng = np.random.default_rng(8)
+    words = [f"word{i}" for i in range(60)]
+    rows = [(i, (" ".join(rng.choice(words, 12)) + (" nasty vile" if i % 4 == 0 else "") + (" vile" if i % 9 == 0 else "")).encode(), int(i % 4 == 0)) for i in range(300)]
+    model = toxicity.Neighbours.learn(rows, {0: 900, 1: 75})
+    terms = sorted(model.vocabulary, key=model.vocabulary.get)
+    examples = {k: Counter(t.decode().split()) for k, t, _ in rows}
+
+    def vector(counts):
+        raw = {t: (1 + np.log(counts[t.decode()])) * model.idf[i] for i, t in enumerate(terms) if counts.get(t.decode())}
+        size = sum(x * x for x in raw.values()) ** 0.5
+        return {t: x / size for t, x in raw.items()}
+
+    assert set(terms) <= {b"nasty", b"vile"}
+    y, w = dict(zip(model.keys.tolist(), model.labels)), dict(zip(model.keys.tolist(), model.weights))
+    place = {k: i for i, k in enumerate(model.keys.tolist())}
+    for text in ("a vile text", "nasty", "vile vile nasty word1"):
+        v = vector(Counter(text.split()))
+        cosines = sorted(((round(sum(v[t] * u.get(t, 0) for t in v), 12), -place[k], k) for k in y for u in [vector(examples[k])] if any(t in u for t in v)), reverse=True)[: toxicity.NEIGHBOURS]
+        votes = [(w[k] / (0.05 + 1 - c), y[k]) for c, _, k in cosines]
+        share = sum(a * b for a, b in votes) / sum(a for a, _ in votes)
+        assert abs(model.vote(model.vector(toxicity.terms_of(text.encode())))[0] - share) < 1e-6
+        x, level = model.steps
+        want = 0.98 * level[min(np.searchsorted(x, share), len(level) - 1)] + 0.02 * share
+        assert abs(model.score(text.encode())[0] - want) < 1e-4
+    assert (np.diff(model.steps[1]) > 0).all()
+
+
+def test_toxicity_on_awkward_rows(spark, docs):
+    labels = spark.createDataFrame([(1, 1, 1), (4, 0, 0), (5, 1, None), (7, 0, 1), (None, 1, 1), (99, 0, 1)], "doc_id long, quality int, toxic int")
+    model = toxicity.learn_toxicity(docs, labels)
+    out = toxicity.score_toxicity(docs, model).collect()
+    assert len(out) == len(ROWS) and all(0 <= r["score"] <= 1 for r in out)
+    assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
+    assert abs(toxicity.learn_toxicity(docs.limit(0), labels).score(b"x")[0] - 2 / 3) < 1e-9 and toxicity.learn_toxicity(docs, labels.limit(0)).score(b"x")[0] == 0
+
+
+def test_pipeline_stages_on_awkward_rows(spark, docs):
+    import corpus_pipeline as p
+
+    for rows in (docs, docs.limit(0)):
+        for name, stage in p.STAGES:
+            out = stage(spark, rows.withColumn("_key", F.lit(1)).withColumn("target", F.lit(2)), SF)
+            if name != "sharding":
+                assert out.columns == p.COLUMNS, name
+            n = out.count()
+            assert n == 0 if rows is not docs else 0 < n <= 3 * len(ROWS), name
