@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def trim_space(s: Column) -> Column:
@@ -74,3 +75,24 @@ def date_trunc_keep(field: str, t: Column, is_date: bool) -> Column:
     if is_date and field.upper() in ("YEAR", "MONTH", "DAY"):
         return out.cast("date")
     return F.greatest(out, F.lit("1970-01-01").cast("timestamp_ntz"))
+
+
+#: Types that a cast leaves alone: only to themselves.
+IDENTITY_ONLY = ("decimal", "date", "timestamp", "timestamp_ntz", "binary", "variant")
+
+
+def cast_checked(c: Column, have: T.DataType, want: T.DataType) -> Column:
+    """CAST between texts, numbers and booleans; dates, times, decimals and bytes cast to their own type alone."""
+    a, b = have.typeName(), want.typeName()
+    if a != b and (a in IDENTITY_ONLY or b in IDENTITY_ONLY):
+        raise TypeError(f"no cast from {a} to {b}")
+    if a == "string" and b == "boolean":
+        return text_to_boolean(c)
+    if a in ("double", "float") and b == "string":
+        return number_to_text(c)
+    return (F.btrim(c) if a == "string" and b != "string" else c).cast(want)
+
+
+def sum_checked(c: Column, kind: T.DataType) -> Column:
+    """SUM of the input's own type: a sum beyond it is an error."""
+    return F.sum(c).cast(kind)

@@ -12,16 +12,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronofold.storage import numbered
+
+#: Kinds of events in a change log.
 KINDS = ("insert", "update", "upsert_update", "delete")
 FOREVER = (1 << 63) - 1
 
 
 def append(log: DataFrame, events: DataFrame, expected: int) -> DataFrame:
-    """log with events after its head; fails if the head isn't the expected offset. events have the column seq."""
+    """log with events after its head; fails if the head isn't the expected offset. events have the column seq.
+
+    Both are DataFrames of this session; writers that race append through a ChangeLog, whose commits are atomic.
+    """
     head = log.agg(F.coalesce(F.max("offset"), F.lit(-1)).alias("h")).first()[0] + 1
     if head != expected:
         raise ValueError(f"expected offset {expected}, head is {head}")
-    return log.unionByName(events.withColumn("offset", F.lit(head) + F.row_number().over(Window.orderBy("seq")) - 1).drop("seq"))
+    return log.unionByName(numbered(events, [F.col("seq")], "offset", head)[0].drop("seq"))
 
 
 def read_from(log: DataFrame, stream: str, offset: int, max_bytes: int | None = None) -> DataFrame:
@@ -33,15 +39,23 @@ def read_from(log: DataFrame, stream: str, offset: int, max_bytes: int | None =
     return rows.withColumn("_b", size).filter(F.col("_b") <= max_bytes).drop("_b")
 
 
-def commit_index(commits: DataFrame, stream: list[str]) -> DataFrame:
+def commit_index(commits: DataFrame, stream: list[str], block: int = 1 << 16) -> DataFrame:
     """Strictly increasing commit times: a time not after its predecessor becomes the predecessor's plus 1.
 
-    max(previous + 1, ns) over offsets is the running maximum of ns - i, plus i.
+    max(previous + 1, ns) over offsets is the running maximum of ns - i, plus i. Both run inside blocks of offsets, and
+    over one row per block, so a long stream is spread over its blocks.
     """
-    order = Window.partitionBy(*stream).orderBy("offset")
-    i = F.row_number().over(order).cast("long")
-    running = F.max(F.col("commit_ns") - F.col("_i")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return commits.withColumn("_i", i).withColumn("commit_ns", running + F.col("_i")).drop("_i")
+    part = commits.withColumn("_block", F.floor(F.col("offset") / block))
+    inside = Window.partitionBy(*stream, "_block").orderBy("offset")
+    part = part.withColumn("_i", F.row_number().over(inside).cast("long"))
+    blocks = part.groupBy(*stream, "_block").agg(F.count(F.lit(1)).alias("_n"), F.max(F.col("commit_ns") - F.col("_i")).alias("_max"))
+    earlier = Window.partitionBy(*stream).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    blocks = blocks.withColumn("_high", F.max(F.col("_max") - F.col("_before")).over(earlier)).drop("_n", "_max")
+    joined = part.join(blocks, [*stream, "_block"])
+    i = F.col("_i") + F.col("_before")
+    running = F.max(F.col("commit_ns") - i).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return joined.withColumn("commit_ns", F.greatest(running, F.col("_high")) + i).select(*commits.columns)
 
 
 def offset_as_of(index: DataFrame, ns: int) -> int:
@@ -61,7 +75,10 @@ def current_view(log: DataFrame, key: list[str], columns: list[str], flags: str
 
     The fold starts at the key's latest insert, upsert or delete, so an earlier life never shines through; each
     column takes its last assignment since, null assignments included; keys whose last base is a delete are gone.
+    An event of an unknown kind is an error.
     """
+    known = F.when(F.col("kind").isin(*KINDS), F.col("kind")).otherwise(F.raise_error(F.concat(F.lit("unknown event kind "), F.coalesce("kind", F.lit("null")))).cast("string"))
+    log = log.withColumn("kind", known)
     bases = F.col("kind").isin("insert", "upsert_update", "delete")
     start = F.max(F.when(bases, F.col("offset"))).over(Window.partitionBy(*key))
     live = log.withColumn("_start", start).filter(F.col("offset") >= F.col("_start"))
@@ -90,6 +107,18 @@ def replay(events: DataFrame, key: list[str], order: str, apply: Callable[[pd.Da
     return events.groupBy(*key).applyInPandas(lambda pdf: apply(pdf.sort_values(order, kind="stable")), schema)
 
 
+def replay_linear(events: DataFrame, key: list[str], order: str, sets: Column, adds: Column) -> DataFrame:
+    """(key, state): each key's events in order, where an event either sets the state (sets isn't null) or adds to it.
+
+    Built-in aggregates say this: the value of the last set plus what was added since; a state starts at 0.
+    """
+    rows = events.withColumn("_set", sets).withColumn("_add", adds)
+    last = F.max(F.when(F.col("_set").isNotNull(), F.col(order))).over(Window.partitionBy(*key))
+    since = rows.withColumn("_last", last).filter(F.col("_last").isNull() | (F.col(order) >= F.col("_last")))
+    added = F.sum(F.when(F.col("_set").isNull(), F.coalesce("_add", F.lit(0))).otherwise(F.col("_set")))
+    return since.groupBy(*key).agg(added.alias("state"))
+
+
 def record_hash(prev: Column, kind: Column, payload: Column) -> Column:
     return F.sha2(F.concat(prev, kind, payload), 256)
 
@@ -111,7 +140,27 @@ def build_chain(log: DataFrame, stream: list[str]) -> DataFrame:
     return log.groupBy(*stream).applyInPandas(link, schema)
 
 
-def broken_links(log: DataFrame, stream: list[str]) -> DataFrame:
-    """Rows whose hash isn't that of their content, or whose prev_hash isn't their predecessor's hash. Parallel."""
-    before = F.lag("hash", 1, "0" * 64).over(Window.partitionBy(*stream).orderBy("offset"))
+def verified(log: DataFrame, stream: list[str], checkpoint: DataFrame | None = None) -> DataFrame:
+    """log without prev_hash and hash, once its chain has been checked; raises if a link is broken.
+
+    checkpoint (stream, offset, hash): links known to be right. Reading starts behind them, and each stream's first
+    link must follow from its checkpoint.
+    """
+    if checkpoint is not None:
+        known = checkpoint.select(*stream, F.col("offset").alias("_from"), F.col("hash").alias("_known"))
+        log = log.join(F.broadcast(known) if known.limit(10_001).count() <= 10_000 else known, stream, "left").filter(F.col("_from").isNull() | (F.col("offset") > F.col("_from")))
+    else:
+        log = log.withColumn("_known", F.lit(None).cast("string"))
+    bad = broken_links(log, stream, F.coalesce("_known", F.lit("0" * 64))).limit(1).collect()
+    if bad:
+        raise ValueError(f"the chain is broken at offset {bad[0]['offset']}")
+    return log.drop("prev_hash", "hash", "_known", "_from")
+
+
+def broken_links(log: DataFrame, stream: list[str], start: Column | None = None) -> DataFrame:
+    """Rows whose hash isn't that of their content, or whose prev_hash isn't their predecessor's hash. Parallel.
+
+    start: what the first row of a stream follows, 64 zeros unless given.
+    """
+    before = F.coalesce(F.lag("hash", 1).over(Window.partitionBy(*stream).orderBy("offset")), F.lit("0" * 64) if start is None else start)
     return log.withColumn("_before", before).filter((F.col("prev_hash") != F.col("_before")) | (F.col("hash") != record_hash(F.col("prev_hash"), F.col("kind"), F.col("payload")))).drop("_before")

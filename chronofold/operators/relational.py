@@ -8,6 +8,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronofold.storage import shared_dir
+
 
 def not_in_list(c: Column, values: Sequence[Any]) -> Column:
     """NOT IN that a null in the list doesn't poison; a null cell is never in it."""
@@ -33,6 +35,7 @@ def join_using(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
 
 def fixpoint(anchor: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int = 1000) -> DataFrame:
     """WITH RECURSIVE ... UNION: rows of anchor and of step over new rows, without repeats, until none is new."""
+    shared_dir(anchor.sparkSession)  # where checkpoints go
     every = anchor.distinct().checkpoint()
     new = every
     for _ in range(rounds):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,18 +29,29 @@ class TableDef:
     primary_key: list[str] = field(default_factory=list)
     classes: dict[str, str] = field(default_factory=dict)
     indexes: dict[str, list[str]] = field(default_factory=dict)
+    required: list[str] = field(default_factory=list)
     version: int = 1
+    #: Columns that were dropped, and the names under which re-added ones are stored.
+    dropped: set[str] = field(default_factory=set)
+    stored: dict[str, str] = field(default_factory=dict)
 
     def add_column(self, name: str, kind: T.DataType) -> None:
         if name in self.columns.names:
             raise ValueError(f"column {name} exists")
         self.columns = T.StructType([*self.columns.fields, T.StructField(name, kind)])
         self.version += 1
+        if name in self.dropped:
+            self.stored[name] = f"{name}__{self.version}"  # what the old column held stays hidden
 
     def drop_column(self, name: str) -> None:
         if name in self.primary_key:
             raise ValueError(f"{name} is part of the primary key")
+        if name not in self.columns.names:
+            raise ValueError(f"no column {name}")
         self.columns = T.StructType([f for f in self.columns.fields if f.name != name])
+        self.dropped.add(name)
+        self.classes.pop(name, None)
+        self.indexes = {i: c for i, c in self.indexes.items() if name not in c}
         self.version += 1
 
     def conform(self, df: DataFrame) -> DataFrame:
@@ -91,12 +103,30 @@ TABLES = {
 }
 
 
+#: Schemas of tables read before, by path: each is inferred once a process.
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def open_catalog(spark: SparkSession, sf_dir: str, *names: str) -> Catalog:
+    """A catalog of the tables named; of all if none is."""
     catalog = Catalog(spark)
     for name in names or TABLES:
         catalog.register(name, read_table(spark, sf_dir, name), TABLES.get(name))
     return catalog
+
+
+def type_of(text: str) -> T.DataType:
+    """The type that a declaration such as VARCHAR(20) or DECIMAL(10, 2) names."""
+    m = re.fullmatch(r"\s*(\w+)\s*(?:\(\s*(\d+)\s*(?:,\s*(\d+)\s*)?\))?\s*", text)
+    if not m or m[1].upper() not in SPARK_TYPES:
+        raise ValueError(f"unknown type {text}")
+    if m[1].upper() == "DECIMAL" and m[2]:
+        return T.DecimalType(int(m[2]), int(m[3] or 0))
+    return SPARK_TYPES[m[1].upper()]
