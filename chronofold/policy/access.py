@@ -28,20 +28,31 @@ class AccessPolicy:
     allow_columns: list[str] = field(default_factory=lambda: ["*"])
     deny_columns: list[str] = field(default_factory=list)
     row_filters: list[tuple[str, str, Any]] = field(default_factory=list)
+    #: Columns granted one by one, by table; tables not named here follow the globs.
+    granted: dict[str, set[str]] = field(default_factory=dict)
 
     @staticmethod
     def _permits(name: str, allow: list[str], deny: list[str]) -> bool:
         return not any(fnmatch.fnmatchcase(name, p) for p in deny) and any(fnmatch.fnmatchcase(name, p) for p in allow)
 
-    def secure(self, table: str, df: DataFrame) -> DataFrame:
-        """The part of a base relation that the role sees. Filters may use columns that it doesn't see."""
+    def rows(self, table: str, df: DataFrame) -> DataFrame:
+        """The rows of a base relation that the role sees. Filters may use columns that it doesn't see."""
         if not self._permits(table, self.allow_tables, self.deny_tables):
             raise PermissionError(f"{self.role} may not read {table}")
-        rows = [OPERATORS[op](F.col(c), v) for c, op, v in self.row_filters if c in df.columns]
-        seen = [c for c in df.columns if self._permits(c, self.allow_columns, self.deny_columns)]
+        filters = [OPERATORS[op](F.col(c), v) for c, op, v in self.row_filters if c in df.columns]
+        return reduce(lambda d, r: d.filter(r), filters, df)
+
+    def columns(self, table: str, df: DataFrame) -> list[str]:
+        grants = self.granted.get(table)
+        seen = [c for c in df.columns if self._permits(c, self.allow_columns, self.deny_columns) and (grants is None or c in grants)]
         if not seen:
             raise PermissionError(f"{self.role} sees no column of {table}")
-        return reduce(lambda d, r: d.filter(r), rows, df).select(*seen)
+        return seen
+
+    def secure(self, table: str, df: DataFrame) -> DataFrame:
+        """The part of a base relation that the role sees."""
+        rows = self.rows(table, df)
+        return rows.select(*self.columns(table, rows))
 
 
 def standard_policy(role: str, tenant: int | None = None) -> AccessPolicy:
@@ -66,7 +77,10 @@ class Rule:
 
 
 def condition(kind: str, value: Any = None) -> Column:
-    """A condition over request columns role, clearance, department, tenant_id, data_class, stream, hour, weekday, country, retention_days, correction_allowed, requested_fields, legal_hold."""
+    """A condition over request columns role, clearance, department, tenant_id, data_class, stream, hour, weekday, country, retention_days, correction_allowed, requested_fields, legal_hold.
+
+    incident_deadline and sequencing name a duty, not a fact about the request: they always hold.
+    """
     if kind == "stream_matches":
         pattern = "^" + "".join(".*" if x == "*" else "." if x == "?" else "\\" + x if not x.isalnum() and x != "_" else x for x in value) + "$"
         return F.col("stream").rlike(pattern)
@@ -96,6 +110,12 @@ FORBIDDEN = {
     "VitalInterests": ["PCI", "Financial", "Confidential"], "PublicTask": ["PCI", "Financial", "Confidential"], "Research": ["PCI", "Financial", "Confidential"], "Security": [],
 }
 NEEDS_CONSENT = ["Marketing", "Research"]
+LAWFUL_BASIS = {
+    "Marketing": "Article 6(1)(a) - Consent", "Analytics": "Article 6(1)(f) - Legitimate interest", "Contractual": "Article 6(1)(b) - Contract",
+    "LegalObligation": "Article 6(1)(c) - Legal obligation", "VitalInterests": "Article 6(1)(d) - Vital interests", "PublicTask": "Article 6(1)(e) - Public task",
+    "Research": "Article 6(1)(f) or Article 9(2)(j) - Research", "Security": "Article 6(1)(f) - Legitimate interest",
+}
+NOT_MINIMAL = {"Marketing": ["PHI", "PCI", "Sensitive", "Confidential", "Financial"], "Analytics": ["PHI", "PCI", "Sensitive", "Confidential"]}
 
 
 def purpose_allowed(purpose: Column, data_class: Column) -> Column:
@@ -103,6 +123,25 @@ def purpose_allowed(purpose: Column, data_class: Column) -> Column:
     return purpose.isin(PURPOSES) & ~F.concat(purpose, F.lit("/"), data_class).isin(pairs)
 
 
+def consent_needed(purpose: Column) -> Column:
+    return purpose.isin(NEEDS_CONSENT)
+
+
+def lawful_basis(purpose: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in LAWFUL_BASIS.items() for x in pair]), purpose)
+
+
+def is_minimal(purpose: Column, data_class: Column) -> Column:
+    """Whether the purpose may use the class under data minimisation."""
+    return ~F.concat(purpose, F.lit("/"), data_class).isin([f"{p}/{c}" for p, classes in NOT_MINIMAL.items() for c in classes])
+
+
+def has_consent(consents: DataFrame, subject: Any, purpose: str, at: Any) -> bool:
+    """Whether a consent of the subject for the purpose is live at a time."""
+    one = consents.filter(F.col("subject_id") == subject)
+    return not with_consent(one.select(F.col("subject_id").alias("_who")), "_who", one, purpose, F.lit(at)).isEmpty()
+
+
 def with_consent(df: DataFrame, subject: str, consents: DataFrame, purpose: str, at: Column, scope: str | None = None) -> DataFrame:
     """Rows whose subject has a consent for the purpose (and scope) that is neither withdrawn nor expired."""
     live = consents.filter((F.col("purpose") == purpose) & F.col("withdrawn_at").isNull() & (F.col("expires_at").isNull() | (F.col("expires_at") > at)))

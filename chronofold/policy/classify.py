@@ -60,3 +60,26 @@ def term_count(text: Column, terms: list[str]) -> Column:
 def class_of_content(text: Column) -> Column:
     """The most restrictive class that the content shows, Public if none."""
     return F.when(term_count(text, MEDICAL_TERMS) >= 2, F.lit("PHI")).when(has_card(text), F.lit("PCI")).when(term_count(text, FINANCIAL_TERMS) >= 2, F.lit("Financial")).when(has_ssn(text) | has_email(text), F.lit("PII")).otherwise(F.lit("Public"))
+
+
+def higher(a: Column, b: Column) -> Column:
+    """The more restrictive of two classes, as labels rank; a if they're equal."""
+    return F.when(level(b, LABEL_ORDER) > level(a, LABEL_ORDER), b).otherwise(a)
+
+
+def verdict(name: Column, text: Column) -> Column:
+    """(data_class, confidence, matched_patterns) from a stream's name and its content.
+
+    The more restrictive of both classes. With no pattern the name alone speaks (0.6); if the content doesn't raise
+    the name's class it confirms it (0.95); else 0.7 and 0.05 for each pattern, 0.9 at most.
+    """
+    medical, financial = term_count(text, MEDICAL_TERMS), term_count(text, FINANCIAL_TERMS)
+    found = F.array(
+        F.when(has_ssn(text), F.lit("ssn_pattern")), F.when(has_card(text), F.lit("credit_card_pattern")), F.when(has_email(text), F.lit("email_pattern")),
+        F.when(medical >= 2, F.concat(F.lit("medical_terms("), medical.cast("string"), F.lit(")"))), F.when(financial >= 2, F.concat(F.lit("financial_terms("), financial.cast("string"), F.lit(")"))),
+    )
+    patterns = F.array_compact(found)
+    by_name = class_of_name(name)
+    final = higher(by_name, class_of_content(text))
+    sure = F.when(F.size(patterns) == 0, F.lit(0.6)).when(final == by_name, F.lit(0.95)).otherwise(0.7 + F.least(F.size(patterns) * 0.05, F.lit(0.2)))
+    return F.struct(final.alias("data_class"), sure.alias("confidence"), patterns.alias("matched_patterns"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -53,8 +54,43 @@ def count_breaches(events: DataFrame, actor: str, ts: str, limit: int, seconds:
     return events.select(actor, ts).groupBy(actor).applyInPandas(walk, f"{actor} {kinds[actor]}, {ts} {kinds[ts]}, count long")
 
 
-def severity(data_class: Column) -> Column:
-    return F.when(data_class.isin("PHI", "PCI", "Sensitive"), F.lit("Critical")).when(data_class.isin("PII", "Financial"), F.lit("High")).when(data_class == "Confidential", F.lit("Medium")).otherwise(F.lit("Low"))
+def severity(data_class: Column, escalation: Column | None = None) -> Column:
+    """Critical, High, Medium or Low by the class of the data; an escalation of privilege is High at least."""
+    high = data_class.isin("PII", "Sensitive")
+    high = high if escalation is None else high | escalation
+    return F.when(data_class.isin("PHI", "PCI"), F.lit("Critical")).when(high, F.lit("High")).when(data_class.isin("Confidential", "Financial"), F.lit("Medium")).otherwise(F.lit("Low"))
+
+
+def mass_exports(exports: DataFrame, records: str, limit: int = MASS_EXPORT_RECORDS) -> DataFrame:
+    """Exports of more records than the limit, with the limit."""
+    return exports.filter(F.col(records) > limit).withColumn("threshold", F.lit(limit))
+
+
+def exfiltrations(exports: DataFrame, size: str, limit: int = EXFILTRATION_BYTES) -> DataFrame:
+    """Exports of more bytes than the limit, with the limit."""
+    return exports.filter(F.col(size) > limit).withColumn("threshold", F.lit(limit))
+
+
+def query_volume(queries: DataFrame, actor: str, ts: str, baseline: int, factor: float = VOLUME_FACTOR, seconds: int = WINDOW_SECONDS) -> DataFrame:
+    """(actor, ts, count) whenever an actor's queries in a window reach factor times the baseline a minute."""
+    return count_breaches(queries, actor, ts, int(baseline * factor), seconds)
+
+
+def escalations(changes: DataFrame, old: str = "from_role", new: str = "to_role") -> DataFrame:
+    """Every change of role: each is an alarm. Empty and null roles are an error."""
+    bad = F.coalesce(F.length(old), F.lit(0)) * F.coalesce(F.length(new), F.lit(0)) == 0
+    checked = F.when(bad, F.raise_error(F.lit("a role must not be empty")).cast("string")).otherwise(F.lit("PrivilegeEscalation"))
+    return changes.withColumn("indicator", checked)
+
+
+def overdue_notifications(breaches: DataFrame, now: Column, hours: int = 72) -> DataFrame:
+    """Breaches (detected_at, notified_at) later than the deadline without a notification."""
+    return breaches.filter(F.col("notified_at").isNull() & (now > F.col("detected_at") + F.make_dt_interval(hours=F.lit(hours))))
+
+
+def overdue_erasures(requests: DataFrame, now: Column, days: int = 30) -> DataFrame:
+    """Requests (requested_at, status) past their deadline that are Pending or InProgress."""
+    return requests.filter(F.col("status").isin("Pending", "InProgress") & (now > F.col("requested_at") + F.make_dt_interval(days=F.lit(days))))
 
 
 def audit_query(log: DataFrame, action: str | None = None, actor: str | None = None, subject: str | None = None, tenant: int | None = None, since: str | None = None, until: str | None = None, limit: int | None = None) -> DataFrame:
@@ -86,19 +122,30 @@ def erase_subject(df: DataFrame, column: str, subject) -> tuple[DataFrame, DataF
 
 @dataclass
 class ExportScope:
-    """What may leave: tables, fields but for excluded ones, inclusive position range, rows at most."""
+    """What may leave: tables, fields but for excluded ones, inclusive ranges of positions and times, rows at most, and how columns change."""
 
     tables: set[str] = field(default_factory=set)
     fields: set[str] = field(default_factory=set)
     excluded: set[str] = field(default_factory=set)
     positions: tuple[str, int, int] | None = None
+    times: tuple[str, str, str] | None = None
     max_rows: int | None = None
+    #: What becomes of columns, by 'table.column', '*.column', 'table.*' or '*'; the most exact name wins.
+    transforms: dict[str, Callable[[Column], Column]] = field(default_factory=dict)
 
     def apply(self, table: str, df: DataFrame, order: list[str]) -> DataFrame:
         if self.tables and table not in self.tables:
             raise PermissionError(f"{table} is out of scope")
         if self.positions:
             df = df.filter(F.col(self.positions[0]).between(self.positions[1], self.positions[2]))
+        if self.times:
+            df = df.filter(F.col(self.times[0]).between(F.lit(self.times[1]).cast(df.schema[self.times[0]].dataType), F.lit(self.times[2]).cast(df.schema[self.times[0]].dataType)))
         kept = [c for c in df.columns if (not self.fields or c in self.fields) and c not in self.excluded]
         df = df.orderBy(*order).limit(self.max_rows) if self.max_rows is not None else df
-        return df.select(*kept)
+        return df.select(*[self.transform(table, c) for c in kept])
+
+    def transform(self, table: str, column: str) -> Column:
+        for name in (f"{table}.{column}", f"*.{column}", column, f"{table}.*", "*"):
+            if name in self.transforms:
+                return self.transforms[name](F.col(column)).alias(column)
+        return F.col(column)
