@@ -1,6 +1,7 @@
 """A corpus pipeline: toxicity, near duplicates, decontamination, mixing, sharding.
 
-Every stage takes what its predecessor kept. All but the last return the columns of documents.
+Every stage takes what its predecessor kept. All but the last return the columns of documents; other columns are left
+out. Rows are judged by doc_id and text, so null and shared ids lose no text. Empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold; the model learns from the labelled rows among docs."""
+    """Documents that score below the threshold; the model learns from the labelled rows among docs. Null and empty texts score as texts without terms do."""
     model = learn_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return without(docs, score_toxicity(keyed(docs), model).filter(F.col("score") >= THRESHOLD))
 
@@ -49,11 +50,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which no window of a benchmark item covers one word in twenty. Null and empty texts stay."""
     return without(docs, decontaminate(keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: whole epochs first, then the sampled part."""
+    """Each document as often as the mix takes it: whole epochs first, then the sampled part. Texts without words go with the epochs."""
     keys = docs.select(*COLUMNS, row_key(docs).alias("_key"))
     rows = keys.select(F.col("_key").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), text_quality(F.col("text")).alias("quality"))
     times = mix(rows, [1, 2, 3]).filter("times > 0").select(F.col("doc_id").alias("_key"), "times").dropDuplicates(["_key"])
@@ -80,6 +82,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder; what a stage gives is written before the next one reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
