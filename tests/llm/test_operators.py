@@ -55,6 +55,42 @@ def test_hilbert_curve_visits_neighbours():
     assert (steps == 1).all()
 
 
+def test_hilbert_runs_fill_aligned_cubes():
+    """With unit steps, what makes a curve Hilbert's: every run of 8**k places is a cube whose side is 2**k, on the grid."""
+    grid = np.array([(x, y, z) for x in range(8) for y in range(8) for z in range(8)])
+    laid = grid[np.argsort(sharding.hilbert_index(grid, 3))]
+    for k in (1, 2):
+        for i in range(0, 512, 8**k):
+            assert len({tuple(c) for c in laid[i : i + 8**k] // 2**k}) == 1
+
+
+def test_op1_equals_brute_force(spark, table):
+    """Quantiles, cells of whole texts, ranks, shards and slots worked out in one place."""
+    rows = [(r["doc_id"], r["lang"], r["source"], len(r["text"].encode()) + 8, zlib.crc32(r["text"].encode())) for r in table.collect()]
+    cells = 32
+
+    def text_cells(values):
+        counts, before, cuts = Counter(v for v in values if v is not None), 0, {}
+        total = sum(counts.values())
+        for v in sorted(counts, key=str.encode):
+            cuts.setdefault(before * (cells - 1) // total, v)
+            before += counts[v]
+        edges = [v for c, v in cuts.items() if c > 0]
+        return [0 if v is None else 1 + sum(v.encode() >= e.encode() for e in edges) for v in values]
+
+    sizes = sorted(r[3] for r in rows)
+    edges = sorted({sizes[max(0, -(-len(sizes) * i // (cells - 1)) - 1)] for i in range(1, cells - 1)})
+    number_cells = [min(cells - 1, 1 + sum(e <= r[3] for e in edges)) for r in rows]
+    at = sharding.hilbert_index(np.array([text_cells([r[1] for r in rows]), text_cells([r[2] for r in rows]), number_cells]).T, 5)
+    order = sorted(range(len(rows)), key=lambda i: (at[i], rows[i][0], rows[i][4]))
+    want, n = {}, len(rows)
+    for rank, i in enumerate(order):
+        shard = rank * 24 // n
+        want[rows[i][0]] = (rows[i][3], rows[i][4], "rows", shard, rank - -(-shard * n // 24), None)
+    out = queries.QUERIES["op1_hilbert_shards"](spark, SF)
+    assert rows_of(out, "size", "text_crc32", "law", "shard", "slot", "grown_shard") == want
+
+
 def test_shards_are_even_and_gapless(spark, docs):
     sized = docs.select("*", sharding.text_size(F.col("text")).alias("size"))
     out = sharding.hilbert_shards(sized, ["lang", "source", "size"], 4, ["doc_id"]).collect()
