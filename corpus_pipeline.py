@@ -55,7 +55,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: whole epochs first, then the sampled part. Texts without words go with the epochs."""
+    """Each document as often as the mix takes it: whole epochs first, then the sampled part. Texts without words are sampled like others."""
     keys = docs.select(*COLUMNS, row_key(docs).alias("_key"))
     rows = keys.select(F.col("_key").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), text_quality(F.col("text")).alias("quality"))
     times = mix(rows, [1, 2, 3]).filter("times > 0").select(F.col("doc_id").alias("_key"), "times").dropDuplicates(["_key"])
