@@ -71,20 +71,21 @@ def as_of_offset(log: DataFrame, offset: int) -> DataFrame:
 
 
 def current_view(log: DataFrame, key: list[str], columns: list[str], flags: str = "was_set_") -> DataFrame:
-    """The latest row of each key from (key, offset, kind, columns, was_set_<column>): one shuffle by key.
+    """The latest row of each key from (key, offset, kind, columns, was_set_<column>): one aggregation by key.
 
     The fold starts at the key's latest insert, upsert or delete, so an earlier life never shines through; each
     column takes its last assignment since, null assignments included; keys whose last base is a delete are gone.
-    An event of an unknown kind is an error.
+    An event of an unknown kind is an error. Every part is an aggregate that combines before the shuffle, so a key
+    with any number of events sends one row a task.
     """
     known = F.when(F.col("kind").isin(*KINDS), F.col("kind")).otherwise(F.raise_error(F.concat(F.lit("unknown event kind "), F.coalesce("kind", F.lit("null")))).cast("string"))
-    log = log.withColumn("kind", known)
-    bases = F.col("kind").isin("insert", "upsert_update", "delete")
-    start = F.max(F.when(bases, F.col("offset"))).over(Window.partitionBy(*key))
-    live = log.withColumn("_start", start).filter(F.col("offset") >= F.col("_start"))
-    newest = [F.max(F.when(F.col(flags + c), F.struct("offset", F.col(c).alias("v"))))["v"].alias(c) for c in columns]
-    folded = live.groupBy(*key).agg(F.min(F.struct("offset", "kind"))["kind"].alias("_base"), *newest)
-    return folded.filter(F.col("_base") != "delete").drop("_base")
+    base = F.when(known.isin("insert", "upsert_update", "delete"), F.col("offset"))
+    parts = [F.max(base).alias("_start"), F.max_by(F.col("kind"), base).alias("_base")]
+    for i, c in enumerate(columns):
+        at = F.when(F.col(flags + c), F.col("offset"))
+        parts += [F.max(at).alias(f"_at{i}"), F.max_by(F.col(c), at).alias(f"_v{i}")]
+    folded = log.groupBy(*key).agg(*parts).filter(F.col("_start").isNotNull() & (F.col("_base") != "delete"))
+    return folded.select(*key, *[F.when(F.col(f"_at{i}") >= F.col("_start"), F.col(f"_v{i}")).alias(c) for i, c in enumerate(columns)])
 
 
 def versions(log: DataFrame, key: list[str]) -> DataFrame:
