@@ -86,6 +86,7 @@ SHARED: dict[str, str] = {
     "u5_except": "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 20",
     "u6_except_all": "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier",
     "c1_with": "WITH big AS (SELECT o_custkey, SUM(o_totalprice) AS t FROM orders GROUP BY o_custkey), top AS (SELECT o_custkey FROM big WHERE t > 500000) SELECT c_custkey, c_name FROM customer JOIN top ON c_custkey = o_custkey",
+    "c2_recursive_sql": "WITH RECURSIVE t(node) AS (SELECT p_partkey FROM part WHERE p_partkey > 0 AND p_partkey < 3 UNION SELECT p_partkey FROM part JOIN t ON FLOOR(p_partkey / 3) = node WHERE p_partkey > 0), big AS (SELECT node FROM t WHERE node > 4) SELECT node FROM big",
     "c3_derived_table": "SELECT s.seg, s.n FROM (SELECT c_mktsegment AS seg, COUNT(*) AS n FROM customer GROUP BY c_mktsegment) s WHERE s.n > 5",
     "c5_scalar_subquery": "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT AVG(o_totalprice) * 2 FROM orders)",
     "x1_x3_case_length": "SELECT c_custkey, UPPER(c_name) AS u, LOWER(c_name) AS l, CAST(LENGTH(c_name) AS BIGINT) AS n FROM customer",

@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.operators.eventlog import FOREVER, offset_as_of, visible_at
+from chronofold.operators.relational import fixpoint
 from chronofold.plans.explain import plan_tree
-from chronofold.plans.text import LIT, check_depth, hide, show, value, words
+from chronofold.plans.text import LIT, check_depth, hide, show, split_list, value, words
 from chronofold.policy.access import AccessPolicy, has_consent
 from chronofold.policy.masking import MaskRegistry
 from chronofold.sources.catalog import Catalog
@@ -157,7 +158,36 @@ class Engine:
             return self.spark.createDataFrame([(plan_tree(self._run(plain[m.end() :], kept, params)),)], "plan string")
         return self._run(plain, kept, params)
 
+    def _recursive(self, plain: str, kept: list[str], params: list[Any] | None) -> DataFrame | None:
+        """WITH RECURSIVE name (columns) AS (anchor UNION step): a fixpoint without repeats. None for any other text."""
+        m = re.match(r"WITH\s+RECURSIVE\s+(\w+)\s*(?:\(([^)]*)\))?\s+AS\s*\(", plain, re.I)
+        if not m:
+            return None
+        depth, end, cut = 1, m.end(), None
+        while end < len(plain) and depth:
+            depth += (plain[end] == "(") - (plain[end] == ")")
+            if depth == 1 and cut is None and (u := re.compile(r"\bUNION\b(?!\s+ALL\b)(?:\s+DISTINCT\b)?", re.I).match(plain, end)):
+                cut = u
+            end += 1
+        if cut is None:
+            return None  # UNION ALL: Spark has it
+        name, rest = m[1], plain[end:].strip()
+        anchor = self._run(plain[m.end() : cut.start()], kept, params)
+        anchor = anchor.toDF(*split_list(m[2])) if m[2] else anchor
+
+        def step(new: DataFrame) -> DataFrame:
+            new.createOrReplaceTempView(name)
+            return self._run(plain[cut.end() : end - 1], kept, params).toDF(*anchor.columns)
+
+        try:
+            fixpoint(anchor, step).createOrReplaceTempView(name)
+            return self._run(f"WITH {rest[1:]}" if rest.startswith(",") else rest, kept, params)
+        finally:
+            self.spark.catalog.dropTempView(name)
+
     def _run(self, plain: str, kept: list[str], params: list[Any] | None) -> DataFrame:
+        if (found := self._recursive(plain, kept, params)) is not None:
+            return found
         views: list[str] = []
 
         def travel(m: re.Match) -> str:

@@ -154,6 +154,14 @@ def test_travel_without_index_and_odd_names(spark):
     assert tree.startswith("-> ") and "#" not in tree and tree == e.sql("EXPLAIN SELECT id FROM o WHERE id > 1").first()[0] and "\n  -> " in tree
 
 
+def test_recursion_without_repeats(spark):
+    catalog = Catalog(spark)
+    catalog.register("edges", spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (9, 8)], "a long, b long"))
+    e = Engine(spark, catalog, policy=access.AccessPolicy("clerk", ["edges"], row_filters=[("b", "!=", 4)]))
+    assert rows(e.sql("WITH RECURSIVE r(n) AS (SELECT b FROM edges WHERE a = $1 UNION SELECT b FROM edges JOIN r ON a = n) SELECT n FROM r", [1])) == [(1,), (2,), (3,)]
+    assert rows(e.sql("WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 3) SELECT n FROM r")) == [(1,), (2,), (3,)]
+
+
 def test_consent_modes(spark):
     catalog = Catalog(spark)
     catalog.register("notes", spark.createDataFrame([(1, "a")], "id long, body string"))
