@@ -9,6 +9,8 @@ extended both ways into runs, and all lines of later runs are deleted.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,68 +18,72 @@ from .common import saved
 
 #: Lines of the longest window, and the words that make shorter ones count.
 WIDTH, WORDS = 3, 12
-#: Shares that the places of one fingerprint or window are dealt to in joins.
-SALTS = 16
+#: Tasks that the places of one fingerprint or window are dealt to in joins.
+SALTS = 4
 BLANKS = " \t\r\x0b\x0c"
 
 
-def hashed_lines(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, text, lines): lines with a word, as (raw line number, number of words, two hashes)."""
+def hashed_lines(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, text, text_hash, lines) and more columns of docs: lines with a word, as (raw line number, number of words, two hashes)."""
     numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), F.btrim(x, F.lit(BLANKS)).alias("core"), x.alias("x")))
     lines = F.transform(
         F.filter(numbered, lambda z: z["core"] != ""),
         lambda z: F.struct(z["i"].alias("i"), F.regexp_count(z["core"], F.lit(r"[^\x20\x09-\x0D]+")).alias("w"), F.xxhash64(z["x"]).alias("h"), F.crc32(z["x"].cast("binary")).alias("c")),
     )
-    return docs.select("doc_id", "text", F.coalesce(lines, F.array().cast("array<struct<i:int,w:int,h:bigint,c:bigint>>")).alias("lines")).withColumn("row", F.monotonically_increasing_id())
+    return docs.select("doc_id", "text", *more, F.xxhash64("text").alias("text_hash"), F.coalesce(lines, F.array().cast("array<struct<i:int,w:int,h:bigint,c:bigint>>")).alias("lines"))
 
 
-def windows_of(rows: DataFrame, width: int, words: int) -> DataFrame:
-    """(place, at, size, mark, run, check): every window of up to width lines that counts, with its fingerprint.
+def fingerprints(rows: DataFrame, width: int, words: int) -> DataFrame:
+    """(place, mark, windows): each line that some window selects, its hash, and the windows (at, size, run, check) that select it.
 
-    place orders rows by doc_id (nulls last), then text; at is the place among the row's lines.
+    A window selects its rightmost smallest line hash, so each window stands with one fingerprint only. place orders
+    rows by doc_id (nulls last), then text; at is the window's first line among the row's lines.
     """
-    place = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"), F.col("row"))
-    parts = []
-    for size in range(1, width + 1):
-        at = lambda k: F.col("lines")[F.col("at") + k]
-        starts = rows.filter(F.size("lines") >= size).select(place.alias("place"), "lines", F.explode(F.sequence(F.lit(0), F.size("lines") - size)).alias("at"))
-        if size < width:
-            starts = starts.filter(sum((at(k)["w"] for k in range(size)), F.lit(0)) >= words)
-        hashes = [at(k)["h"] for k in range(size)]
-        mark = F.least(*hashes) if size > 1 else hashes[0]
-        parts.append(starts.select("place", "at", F.lit(size).alias("size"), mark.alias("mark"), F.xxhash64(F.lit(size), *hashes).alias("run"), F.xxhash64(F.lit(size), *[at(k)["c"] for k in range(size)]).alias("check")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), "text_hash")
+    # each line with its neighbours, so that no row carries a whole text
+    near = F.transform("lines", lambda z, i: F.struct(i.alias("p"), *[(F.get("lines", i + k) if k else z).alias(f"l{k + width}") for k in range(1 - width, width)]))
+    at = rows.select(place.alias("place"), F.explode(near).alias("z")).select("place", "z.*")
 
+    def line(k: int) -> Column:
+        return F.col(f"l{k + width}")
 
-def dealt(df: DataFrame) -> DataFrame:
-    """df with a salt by row and place, so that a common key's rows lie in many tasks."""
-    return df.withColumn("salt", F.pmod(F.xxhash64("place", "at"), F.lit(SALTS)).cast("int"))
+    found = []
+    for size in range(1, width + 1):
+        for o in range(size):
+            own = [line(j - o) for j in range(size)]
+            least = [own[o]["h"] <= own[j]["h"] if j < o else own[o]["h"] < own[j]["h"] for j in range(size) if j != o]
+            selects = reduce(lambda a, b: a & b, least, own[o]["h"].isNotNull())
+            if size < width:
+                selects = selects & (sum((x["w"] for x in own), F.lit(0)) >= words)
+            run, check = (F.xxhash64(F.lit(size), *[x[part] for x in own]) for part in ("h", "c"))
+            found.append(F.when(F.coalesce(selects, F.lit(False)), F.struct((F.col("p") - o).alias("at"), F.lit(size).alias("size"), run.alias("run"), check.alias("check"))))
+    return at.select("place", line(0)["h"].alias("mark"), F.array_compact(F.array(*found)).alias("windows")).filter(F.size("windows") > 0)
 
 
-def to_all(df: DataFrame) -> DataFrame:
-    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+def met(df: DataFrame, keys: list[str], others: DataFrame, how: str) -> DataFrame:
+    """df joined with others, which are unique in keys; each key is dealt to SALTS tasks, so that a common one fills none."""
+    salted = df.withColumn("salt", F.pmod(F.xxhash64("place"), F.lit(SALTS)).cast("int"))
+    every = others.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(every, [*keys, "salt"], how).drop("salt")
 
 
 def repeated_runs(rows: DataFrame, width: int = WIDTH, words: int = WORDS) -> DataFrame:
-    """(row, first, last, of_row, of_first): runs of lines, as long as they go, that match an earlier place."""
-    windows = saved(windows_of(rows, width, words), "line-windows")
+    """(place, first, last, of_place, of_first): runs of lines, as long as they go, that match an earlier place."""
+    marked = fingerprints(rows, width, words)
+    marks = marked.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("mark")
+    shared = met(marked, ["mark"], marks, "left_semi").select("place", F.explode("windows").alias("w"))
+    shared = saved(shared.select("place", "w.*"), "shared-windows")
     here = F.struct("place", "at")
-    marks = windows.groupBy("mark", "size").agg(F.min(here).alias("low"), F.max(here).alias("high")).filter(F.col("low") != F.col("high")).select("mark", "size")
-    shared = dealt(windows).join(to_all(marks), ["mark", "size", "salt"], "left_semi")
-    shared = saved(shared.select("place", "at", "size", "run", "check"), "shared-windows")
-    first = shared.groupBy("run", "check").agg(F.min(here).alias("first"), F.max(here).alias("last")).filter(F.col("first") != F.col("last")).drop("last")
-    matches = dealt(shared).join(to_all(first), ["run", "check", "salt"]).filter(here > F.col("first"))
-    matches = matches.select(F.col("place.row").alias("row"), "at", "size", F.col("first.place.row").alias("of_row"), F.col("first.at").alias("of_at"))
+    first = shared.groupBy("run", "check").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    matches = met(shared, ["run", "check"], first, "inner").filter(here > F.col("first"))
+    matches = matches.select("place", "at", "size", F.col("first.place").alias("of_place"), F.col("first.at").alias("of_at"))
     # matches of a row with the same earlier row, at the same distance, that touch or overlap are one run
-    along = Window.partitionBy("row", "of_row", "shift").orderBy("at", "size")
+    along = Window.partitionBy("place", "of_place", "shift").orderBy("at", "size")
     reach = F.max(F.col("at") + F.col("size")).over(along.rowsBetween(Window.unboundedPreceding, -1))
     fresh = matches.withColumn("shift", F.col("of_at") - F.col("at")).withColumn("new", (F.coalesce(reach, F.lit(-1)) < F.col("at")).cast("int"))
-    runs = fresh.withColumn("nth", F.sum("new").over(along)).groupBy("row", "of_row", "shift", "nth")
+    runs = fresh.withColumn("nth", F.sum("new").over(along)).groupBy("place", "of_place", "shift", "nth")
     runs = runs.agg(F.min("at").alias("first"), (F.max(F.col("at") + F.col("size")) - 1).alias("last"))
-    return runs.select("row", "first", "last", "of_row", (F.col("first") + F.col("shift")).alias("of_first"))
+    return runs.select("place", "first", "last", "of_place", (F.col("first") + F.col("shift")).alias("of_first"))
 
 
 def slices_without(items: Column, gone: Column) -> Column:
@@ -93,13 +99,15 @@ def dedup_lines(docs: DataFrame, width: int = WIDTH, words: int = WORDS) -> Data
     A run is one or two lines of at least so many words, or at least width lines; it is later if the same lines
     stand at a smaller doc_id (nulls last, equal ids by text) or further up in the same text. Only lines with a word
     count; blank lines between them stay. dropped lists the places of deleted lines among the lines with words. A
-    null text stays null, has no lines and loses none; every row is judged by itself, also where its doc_id is null
-    or shared.
+    null text stays null, has no lines and loses none; rows that share a doc_id but not the text are documents of
+    their own, also without doc_id, and rows equal in both are one document.
     """
-    rows = saved(hashed_lines(docs), "lines")
-    gone = repeated_runs(rows.select("row", "doc_id", "text", "lines"), width, words).select("row", F.explode(F.sequence("first", "last")).alias("at")).distinct()
-    gone = gone.groupBy("row").agg(F.sort_array(F.collect_set("at")).alias("gone"))
-    out = rows.join(gone, "row", "left")
+    rows = hashed_lines(docs)
+    gone = repeated_runs(rows, width, words).select("place", F.explode(F.sequence("first", "last")).alias("at"))
+    gone = gone.groupBy(F.col("place.id").alias("_id"), F.col("place.text_hash").alias("_hash")).agg(F.sort_array(F.collect_set("at")).alias("gone"))
+    texts = docs.select("doc_id", "text").withColumn("_text_hash", F.xxhash64("text"))
+    met_rows = texts.join(gone, (F.col("_text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    out = hashed_lines(met_rows.select("doc_id", "text", "gone"), "gone")
     none = F.array().cast("array<int>")
     raw = F.transform("gone", lambda g: F.col("lines")[g]["i"])
     left = F.array_join(slices_without(F.split("text", "\n"), raw), "\n")

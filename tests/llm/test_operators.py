@@ -207,7 +207,7 @@ def test_line_dedup_extends_matches_into_runs(spark):
     """One run for a stretch of equal lines, however long, and linear work in the lines of a text."""
     many = "\n".join(f"line number {i} of a very long list" for i in range(30_000))
     rows = line_dedup.hashed_lines(spark.createDataFrame([(1, many), (2, "head\n" + many + "\ntail")], "doc_id long, text string"))
-    runs = line_dedup.repeated_runs(common.saved(rows, "rows")).collect()
+    runs = line_dedup.repeated_runs(rows).collect()
     assert [(r["first"], r["last"], r["of_first"]) for r in runs] == [(1, 30_000, 0)]
     out = rows_of(line_dedup.dedup_lines(spark.createDataFrame([(1, many), (2, "head\n" + many + "\ntail")], "doc_id long, text string")), "n_dropped", "text")
     assert out[2] == (30_000, "head\ntail") and out[1] == (0, many)
