@@ -51,20 +51,19 @@ def terms_of(raw: bytes | None) -> Counter:
     return out
 
 
-def distinct_examples(rows: list[tuple[int, bytes, int]]) -> list[tuple[int, Counter, int]]:
+def distinct_examples(rows: list[tuple[int, bytes, int]]) -> list[tuple[int, bytes, int]]:
     """The rows without copies: a row goes if its words are COPY or more similar (Jaccard, whole sets) to an earlier kept one of its label.
 
     Sets so similar share a word among the first few of both, rarest first; only those are looked up, and each match
-    is then confirmed on the whole sets. Texts of under eight words always stay.
+    is then confirmed on the whole sets. Texts of under eight words always stay, texts without words go.
     """
-    shared: dict[bytes, bytes] = {}  # one object for each term, whatever the number of rows that hold it
     numbers: dict[bytes, int] = {}
     words = [np.array(sorted({numbers.setdefault(w, len(numbers)) for w in words_of(raw)}), np.int32) for _, raw, _ in rows]
     frequency = np.bincount(np.concatenate([np.zeros(0, np.int32), *words]), minlength=1)
     kept: dict[tuple[int, int], list[int]] = defaultdict(list)
     out = []
-    for i, (own, (key, raw, label)) in enumerate(zip(words, rows, strict=True)):
-        n = len(own)
+    for i, (own, row) in enumerate(zip(words, rows, strict=True)):
+        n, label = len(own), row[2]
         if not n:
             continue
         if n >= 8:
@@ -74,25 +73,32 @@ def distinct_examples(rows: list[tuple[int, bytes, int]]) -> list[tuple[int, Cou
                 continue
             for t in rare:
                 kept[label, t].append(i)
-        out.append((key, Counter({shared.setdefault(t, t): k for t, k in terms_of(raw).items()}), label))
+        out.append(row)
     return out
 
 
-def leaning_terms(examples: list[tuple[int, Counter, int]], size: int, least: int = 5) -> list[bytes]:
-    """The terms most associated with label 1 by chi-squared, among those of at least `least` positive examples."""
-    positive = Counter(t for _, terms, y in examples if y for t in terms)
-    positive = Counter({t: n for t, n in positive.items() if n >= least})
-    negative = Counter(t for _, terms, y in examples if not y for t in terms if t in positive)
-    p = sum(1 for *_, y in examples if y) or 1
-    n = max(1, len(examples) - p)
-    scored = []
-    for t, a in positive.items():
-        b = negative[t]
-        rate = (a + b) / (p + n)
-        if a / p > 4 * b / n and rate < 1:
-            scored.append(((a - p * rate) ** 2 / (p * rate) + (b - n * rate) ** 2 / (n * rate), t))
+def counted(examples: list[tuple[int, bytes, int]]) -> tuple[list[bytes], list[tuple[np.ndarray, np.ndarray]]]:
+    """All terms, and for each example the numbers of its terms and how often they stand there: arrays, not one dict a text."""
+    numbers: dict[bytes, int] = {}
+    out = []
+    for _, raw, _ in examples:
+        terms = terms_of(raw)
+        out.append((np.array([numbers.setdefault(t, len(numbers)) for t in terms], np.int32), np.array(list(terms.values()), np.int32)))
+    return list(numbers), out
+
+
+def leaning_terms(names: list[bytes], counts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, size: int, least: int = 5) -> list[int]:
+    """The numbers of the terms most associated with label 1 by chi-squared, among those of at least `least` positive examples."""
+    none = np.zeros(0, np.int32)
+    a, b = (np.bincount(np.concatenate([none, *[c[0] for c, y in zip(counts, labels, strict=True) if y == label]]), minlength=len(names)).astype(float) for label in (1, 0))
+    p = max(1, int(labels.sum()))
+    n = max(1, len(labels) - p)
+    rate = (a + b) / (p + n)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        score = (a - p * rate) ** 2 / (p * rate) + (b - n * rate) ** 2 / (n * rate)
     # ten is beyond the 0.1 % point of one degree of freedom
-    return [t for s, t in sorted(scored, key=lambda x: (-x[0], x[1]))[:size] if s > 10]
+    good = np.flatnonzero((a >= least) & (a / p > 4 * b / n) & (rate < 1) & (score > 10)).tolist()
+    return sorted(good, key=lambda t: (-score[t], names[t]))[:size]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,17 +134,23 @@ class Neighbours:
     def learn(cls, rows: list[tuple[int, bytes, int]], rates: dict[int, int]) -> Neighbours:
         """rows: (key, text, label), a sample; rates: rows of each label before sampling, which weigh the votes."""
         examples = distinct_examples(rows)
+        labels = np.array([y for *_, y in examples], np.int64)
+        names, counts = counted(examples)
+        chosen = leaning_terms(names, counts, labels, VOCABULARY)
+        terms = [names[t] for t in chosen]
+        place_of = np.full(len(names) + 1, -1, np.int64)
+        place_of[chosen] = np.arange(len(chosen))
+        own = [place_of[ids] for ids, _ in counts]
         self = cls()
-        terms = leaning_terms(examples, VOCABULARY)
         self.vocabulary = {t: i for i, t in enumerate(terms)}
-        drawn = Counter(y for *_, y in examples)
+        drawn = Counter(labels.tolist())
         share = {y: rates[y] / drawn[y] for y in drawn}
-        df = Counter(t for _, c, _ in examples for t in c if t in self.vocabulary)
-        self.idf = np.array([math.log((1 + len(examples)) / (1 + df[t])) + 1 for t in terms])
+        df = np.bincount(np.concatenate([np.zeros(0, np.int64), *[t[t >= 0] for t in own]]), minlength=len(terms))
+        self.idf = np.array([math.log((1 + len(examples)) / (1 + n)) + 1 for n in df[: len(terms)]])
         bare: dict[int, float] = defaultdict(float)
         vectors, kept = [], []
-        for key, counts, y in examples:
-            v = self.vector(counts)
+        for (key, _, y), at, (_, n) in zip(examples, own, counts, strict=True):
+            v = self.weighed(at[at >= 0], n[at >= 0])
             if v is None:
                 bare[y] += share[y]
             else:
@@ -164,15 +176,21 @@ class Neighbours:
             self.steps = isotonic(votes, self.labels, self.weights)
         return self
 
-    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray] | None:
-        """(term numbers, weights) of unit length; None if the text has no term of the vocabulary."""
-        own = sorted((self.vocabulary[t], n) for t, n in counts.items() if t in self.vocabulary) if len(counts) <= len(self.vocabulary) else sorted((i, counts[t]) for t, i in self.vocabulary.items() if t in counts)
-        if not own:
+    def weighed(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """(term numbers ascending, weights) of unit length; None without terms."""
+        if not len(ids):
             return None
-        ids = np.array([i for i, _ in own])
-        w = (1 + np.log([n for _, n in own])) * self.idf[ids]
+        order = np.argsort(ids)
+        ids = ids[order]
+        w = (1 + np.log(counts[order])) * self.idf[ids]
         return ids, w / np.linalg.norm(w)
 
+    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray] | None:
+        """(term numbers, weights) of unit length; None if the text has no term of the vocabulary."""
+        known = self.vocabulary
+        own = [(known[t], n) for t, n in counts.items() if t in known] if len(counts) <= len(known) else [(i, counts[t]) for t, i in known.items() if t in counts]
+        return self.weighed(np.array([i for i, _ in own], np.int64), np.array([n for _, n in own], np.int64))
+
     def nearest(self, v: tuple[np.ndarray, np.ndarray], k: int, own: int = -1) -> list[tuple[float, int]]:
         """The k largest cosines above 0, exactly, with their examples' places; ties go to the lower place."""
         ids, w = v
