@@ -152,6 +152,33 @@ def test_tokens_round_trip(spark, table, docs):
     assert coder.encode(pa.array([], pa.string())).to_pylist() == []
 
 
+def test_tokens_of_every_character_between_others():
+    coder = tokens.Encoder(tokens.default_tokenizer(), 2, remember=5000)
+    signs = [chr(i) for i in range(0x3100) if not 0xD800 <= i < 0xE000] + ["中", "\ufeff", "\uff0c", "🙂", "𝒳"]
+    texts = [f"a{c}.b {c}1'{c}s\n{c} {c}{c}\n {c}'{c}" for c in signs] + ["".join(np.random.default_rng(i).choice([*"aZé7 \n\t.'s,-", "…", "٣"], 30)) for i in range(2000)]
+    for part in (texts[:9000], texts[9000:], texts[7000:9500]):
+        assert coder.encode(pa.array(part)).to_pylist() == [[*coder.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in part]
+    assert len(coder.units) <= 2 * 5000
+
+
+def test_tokens_of_known_pieces_need_no_library(monkeypatch):
+    coder, texts = tokens.Encoder(tokens.default_tokenizer(), 2), ["End it. Now go on, 12 more.\nThe last"]
+    coder.encode(pa.array(texts))
+    sent = []
+    monkeypatch.setattr(coder, "library", lambda some, library=coder.library: sent.extend(some) or library(some))
+    again = "End it. Now go.\nEnd on,The last.\nThe it\nEnd 12."
+    expected = [*coder.tokenizer.encode(again, add_special_tokens=False).ids, 2]
+    assert coder.encode(pa.array([again, "The it."])).to_pylist()[0] == expected and sent == []
+
+
+def test_slices_put_small_batches_together(monkeypatch):
+    monkeypatch.setattr(tokens, "SLICE", 1000)
+    table = pa.table({"doc_id": list(range(40)), "text": ["x" * 36] * 30 + [None, "y" * 2500] + [""] * 8})
+    got = list(tokens.slices(iter(table.to_batches(max_chunksize=3)), 1))
+    assert pa.Table.from_batches(got) == table.combine_chunks() and [b.num_rows for b in got] == [10, 10, 10, 2, 6, 2]
+    assert list(tokens.slices(iter([]), 1)) == []
+
+
 def test_tokens_of_repeated_ids_stand_where_start_says(spark, tmp_path):
     rows = [(7, "one two three four"), (7, "x"), (3, None), (7, "a longer text with more words in it"), (None, "first"), (7, "x"), (None, ""), (9, "the end")]
     path = f"{tmp_path}/tokens"
